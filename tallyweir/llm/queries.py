@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweir.llm.scans import page_noise
+from tallyweir.llm.sentences import sentence_ends
 from tallyweir.session import table
 
 
@@ -14,5 +15,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_noise(table(spark, sf_dir, "page_texts"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_ends(table(spark, sf_dir, "items"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_found": p5_found}
 ORACLE: dict[str, str] = {}
