@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyweir.llm.aliases import resolve, same_pairs
 from tallyweir.llm.scans import page_noise
 from tallyweir.llm.sentences import sentence_ends
 from tallyweir.session import table
@@ -19,5 +20,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_ends(table(spark, sf_dir, "items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_found": p5_found}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_pairs(resolve(table(spark, sf_dir, "aliases")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
 ORACLE: dict[str, str] = {}
