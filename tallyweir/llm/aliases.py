@@ -39,14 +39,14 @@ def _read(lexicon: tuple):
                 for r in lex.readings(text):
                     first = r["words"][0] if r["words"] else ""
                     rest = "".join(r["words"][1:])
-                    rows.append((key, market, r["core"], r["business"] or NONE, bool(r["initial"]), first if len(r["words"]) > 1 else "", rest))
-            yield pd.DataFrame(rows, columns=["id", "market", "core", "business", "initial", "first", "rest"])
+                    rows.append((key, market, r["core"], r["business"] or NONE, bool(r["initial"]), first if len(r["words"]) > 1 else "", rest, r["raw"]))
+            yield pd.DataFrame(rows, columns=["id", "market", "core", "business", "initial", "first", "rest", "raw"])
 
     return run
 
 
 def read_names(rows: DataFrame, row_id: str, text: str, market: str | None, lexicon: Lexicon) -> DataFrame:
-    """(id, market, core, business, initial, first, rest): the readings of each row's name."""
+    """(id, market, core, business, initial, first, rest, raw): the readings of each row's name."""
     ship_package(rows.sparkSession)
     id_type = rows.schema[row_id].dataType.simpleString()
     slim = rows.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(
@@ -54,7 +54,7 @@ def read_names(rows: DataFrame, row_id: str, text: str, market: str | None, lexi
     )
     return slim.mapInPandas(
         _read((lexicon.phrases, lexicon.endings, lexicon.sounds)),
-        f"id {id_type}, market string, core string, business string, initial boolean, first string, rest string",
+        f"id {id_type}, market string, core string, business string, initial boolean, first string, rest string, raw string",
     )
 
 
@@ -109,22 +109,44 @@ def resolve(rows: DataFrame, row_id: str = "alias_id", text: str = "text", marke
     read = read.withColumn("node", form)
     forms = read.groupBy("node").agg(
         F.first("core").alias("core"), F.first("business").alias("business"), F.first("initial").alias("initial"),
-        F.min(F.nullif("first", F.lit(""))).alias("first"), F.min(F.nullif("rest", F.lit(""))).alias("rest"),
+        F.min(F.nullif("first", F.lit(""))).alias("first"), F.min(F.nullif("rest", F.lit(""))).alias("rest"), F.min(F.nullif("raw", F.lit(""))).alias("raw"),
         F.count_distinct("id").alias("n"), F.collect_set("market").alias("markets"),
     )
     forms = checkpointed(forms)
     spelled = read.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     edges = checkpointed(spelled.where(F.col("a") != F.col("b")).select("a", "b"))
     clusters = checkpointed(components(forms.select("node"), edges))
+    far = False
     for _ in range(ROUNDS):
         found = checkpointed(_proposals(forms, clusters))
         if found.isEmpty():
-            break
+            if far:
+                break
+            far = True
+            found = checkpointed(_far_proposals(forms, clusters))
         edges = checkpointed(edges.unionByName(found).distinct())
         clusters = checkpointed(components(forms.select("node"), edges))
     return read.select("id", "node").join(clusters, "node").groupBy("id").agg(F.min("cluster").alias("cluster")).withColumnRenamed("id", row_id)
 
 
+def deletions2(core: Column) -> Column:
+    """The core and every core with one or two letters left out."""
+    return F.array_distinct(F.flatten(F.transform(deletions(core), lambda x: deletions(x))))
+
+
+def _far_proposals(forms: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(a, b): merges over two edits (deletions on either side, so a swap may count as one) of one business, for lone spellings of eight letters and more whose market agrees."""
+    f = forms.join(clusters, "node")
+    alone = f.groupBy("cluster").agg(F.sum("n").alias("size"))
+    full = f.where((F.col("business") != NONE) & ~F.col("initial") & (F.length("core") >= 8)).join(alone, "cluster")
+    keyed = full.select("cluster", "core", "business", "n", "size", "markets", F.explode(deletions2(F.col("core"))).alias("key"))
+    x, y = keyed.where(F.col("size") == 1).alias("x"), keyed.where(F.col("size") > 1).alias("y")
+    near = x.join(y, ["business", "key"]).where((F.col("x.cluster") != F.col("y.cluster")) & (F.levenshtein(F.col("x.core"), F.col("y.core")) <= 3))
+    clash = (F.size("x.markets") > 0) & (F.size("y.markets") > 0) & ~F.arrays_overlap("x.markets", "y.markets")
+    near = near.where(~clash).groupBy(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b")).agg(F.count("*").alias("keys"))
+    return near.groupBy("a").agg(F.count("*").alias("k"), F.min("b").alias("b")).where(F.col("k") == 1).select("a", "b")
+
+
 def _proposals(forms: DataFrame, clusters: DataFrame) -> DataFrame:
     """(a, b): one further merge for each profile that has a single best partner."""
     f = forms.join(clusters, "node")
@@ -133,16 +155,26 @@ def _proposals(forms: DataFrame, clusters: DataFrame) -> DataFrame:
         F.max(F.when((F.col("business") != NONE) & ~F.col("initial"), F.col("n"))).alias("top"), F.sum("n").alias("size"),
         F.array_distinct(F.flatten(F.collect_list("markets"))).alias("markets"),
     )
-    full = f.where((F.col("business") != NONE) & ~F.col("initial")).select("node", "cluster", "core", "business", "n", "first", "rest")
+    full = f.where((F.col("business") != NONE) & ~F.col("initial")).select("node", "cluster", "core", "business", "n", "first", "rest", "raw")
     # one edit within a business; short cores are too easily one edit apart
     keyed = full.where(F.length("core") >= 5).select("cluster", "core", "business", "n", "node", F.explode(deletions(F.col("core"))).alias("key"))
     left, right = keyed.alias("x"), keyed.alias("y")
     near = left.join(right, ["business", "key"]).where((F.col("x.cluster") != F.col("y.cluster")) & within_one_edit(F.col("x.core"), F.col("y.core")))
     near = near.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.lit(1).alias("kind"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    # one character of the native spelling: sounds hide which of two swapped or mistaken characters it was
+    signs = full.where(F.length("raw") >= 3).select("cluster", "business", "n", "raw").distinct()
+    signs = signs.withColumn("key", F.explode(deletions(F.col("raw"))))
+    written = signs.alias("x").join(signs.alias("y"), ["business", "key"]).where((F.col("x.cluster") != F.col("y.cluster")) & within_one_edit(F.col("x.raw"), F.col("y.raw")))
+    written = written.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.lit(1).alias("kind"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    # cores cut short
+    cut = full.where(F.length("core") >= 6).select("cluster", "core", "business", "n")
+    starts = cut.select("cluster", "business", "n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length("core") - 6)), lambda k: F.col("core").substr(F.lit(1), F.length("core") - k))).alias("key")).where(F.length("key") >= 6)
+    clipped = cut.select("cluster", F.col("core").alias("key"), "business", "n").alias("x").join(starts.alias("y"), ["business", "key"]).where(F.col("x.cluster") != F.col("y.cluster"))
+    clipped = clipped.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.lit(2).alias("kind"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     # endings of endearment: the core up to its last vowels
-    stem = F.regexp_replace("core", "(?:ie|y|[aeiou])$", "")
+    stem = F.regexp_replace("core", "(?:sy|ie|y|[aeiou])$", "")
     stems = full.where(F.length("core") >= 6).select("cluster", "core", "business", "n", stem.alias("key"))
-    soft = F.regexp_extract("core", "(?:ie|y)$", 0) != ""
+    soft = F.regexp_extract("core", "(?:sy|ie|y)$", 0) != ""
     tender = stems.where(soft).alias("x").join(stems.alias("y"), ["business", "key"]).where(F.col("x.cluster") != F.col("y.cluster"))
     tender = tender.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.lit(1).alias("kind"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
     # names without business, by the core itself and then by one edit
@@ -160,7 +192,7 @@ def _proposals(forms: DataFrame, clusters: DataFrame) -> DataFrame:
         (F.col("x.cluster") != F.col("y.cluster")) & F.startswith(F.col("y.first"), F.col("x.first")) & ((F.col("x.business") == F.col("y.business")) | (F.col("x.business") == NONE))
     )
     start = start.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("na"), F.col("y.n").alias("nb"))
-    offered = near.unionByName(tender).unionByName(exact).unionByName(loose).unionByName(start)
+    offered = near.unionByName(written).unionByName(clipped).unionByName(tender).unionByName(exact).unionByName(loose).unionByName(start)
     offered = offered.groupBy("a", "b").agg(F.min("kind").alias("kind"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     pa = profile.select(F.col("cluster").alias("a"), F.col("top").alias("top_a"), F.col("markets").alias("ma"), F.col("size").alias("size_a"))
     pb = profile.select(F.col("cluster").alias("b"), F.col("top").alias("top_b"), F.col("markets").alias("mb"), F.col("size").alias("size_b"))

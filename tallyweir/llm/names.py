@@ -157,7 +157,7 @@ def latin_tokens(text: str) -> list[str]:
     if m and not all(t.rstrip(".").lower() in LEGAL for t in re.split(r"[\s.]+", m[2].strip()) if t):
         text = f"{m[2]} {m[1]}"
     text = re.sub(r"\s-\s.*$", "", text)
-    return [t.strip("'") for t in re.findall(r"[a-z0-9*][a-z0-9'.]*", text.lower().replace("k.k.", "kk").replace("s.a.", "sa").replace("&", " ")) if t.strip(".'")]
+    return [t.strip("'") for t in re.findall(r"[a-z0-9*][a-z0-9'.]*", text.lower().replace("k.k.", "kk").replace("s.a.", "sa").replace("&", " ").replace(" and ", " ")) if t.strip(".'")]
 
 
 def split_scripts(text: str) -> list[str]:
@@ -196,10 +196,11 @@ class Lexicon:
         for words in self.first.get(tail[0][0], []):
             if len(tail) <= len(words) and all(abbreviates(t.rstrip("."), w) for t, w in zip(tail, words)):
                 exact = sum(t == w for t, w in zip(tail, words))
-                rank = (exact, len(tail) == len(words), sum(len(t) for t in tail), " ".join(words))
+                opens = sum(w.startswith(t.rstrip(".")) for t, w in zip(tail, words))
+                rank = (exact, opens, len(tail) == len(words), sum(len(t) for t in tail), " ".join(words))
                 if best is None or rank > best:
                     best = rank
-        return best[3] if best else None
+        return best[4] if best else None
 
     def latin(self, text: str) -> tuple[list[str], str | None, list[str]]:
         """(core tokens, phrase of business or none, legal forms)."""
@@ -216,8 +217,8 @@ class Lexicon:
                     return [t.rstrip(".") if len(t) > 3 else t for t in tokens[:-k]], found, legal
         return tokens, None, legal
 
-    def native(self, text: str) -> tuple[str, str | None]:
-        """(core by sound, phrase of business or none)."""
+    def native(self, text: str) -> tuple[str, str | None, str]:
+        """(core by sound, phrase of business or none, core as written)."""
         body = native_parts(text)
         found = None
         for k in range(min(6, len(body) - 1), 0, -1):
@@ -227,8 +228,8 @@ class Lexicon:
                 break
         if _HAN.search(body):
             heard = [self.sounds.get(c, "?" + c) if _HAN.match(c) else romanise(c) for c in body]
-            return "".join(heard), found
-        return romanise(body), found
+            return "".join(heard), found, body
+        return romanise(body), found, body
 
     def readings(self, text: str | None) -> list[dict]:
         """The names that a text spells, each with core, words, business, legal forms and initial; empty for placeholders."""
@@ -238,15 +239,15 @@ class Lexicon:
         for part in split_scripts(plain(text)):
             native = bool(_HAN.search(part) or _KANA.search(part) or _HANGUL.search(part))
             if native:
-                core, business = self.native(part)
+                core, business, raw = self.native(part)
                 words, legal = [core], []
             else:
                 words, business, legal = self.latin(part)
-                core = "".join(w.rstrip(".") for w in words)
+                core, raw = "".join(w.rstrip(".") for w in words), ""
             if not core:
                 continue
             initial = not native and len(words) > 1 and words[0].endswith(".") and len(words[0]) <= 4
-            out.append({"core": core, "words": [w.rstrip(".") for w in words], "business": business, "legal": " ".join(legal[::-1]), "initial": initial, "native": native})
+            out.append({"core": core, "words": [w.rstrip(".") for w in words], "business": business, "legal": " ".join(legal[::-1]), "initial": initial, "native": native, "raw": raw})
         return out
 
 

@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyweir.llm.aliases import resolve, same_pairs
+from tallyweir.llm.linking import match_profiles
 from tallyweir.llm.scans import page_noise
 from tallyweir.llm.sentences import sentence_ends
 from tallyweir.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = match_profiles(table(spark, sf_dir, "profile_rows"), table(spark, sf_dir, "securities"))
+    return matched.select("security_id", "listing_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_noise(table(spark, sf_dir, "page_texts"))
 
@@ -24,5 +30,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_pairs(resolve(table(spark, sf_dir, "aliases")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
 ORACLE: dict[str, str] = {}
