@@ -118,14 +118,15 @@ def resolve(rows: DataFrame, row_id: str = "alias_id", text: str = "text", marke
     clusters = checkpointed(components(forms.select("node"), edges))
     far = False
     for _ in range(ROUNDS):
-        found = checkpointed(_proposals(forms, clusters))
+        members = _members(forms, clusters)
+        found = checkpointed(_far_proposals(members) if far else _proposals(members))
         if found.isEmpty():
             if far:
                 break
             far = True
-            found = checkpointed(_far_proposals(forms, clusters))
-        edges = checkpointed(edges.unionByName(found).distinct())
-        clusters = checkpointed(components(forms.select("node"), edges))
+            continue
+        far = False
+        clusters = checkpointed(_follow(clusters, found))
     return read.select("id", "node").join(clusters, "node").groupBy("id").agg(F.min("cluster").alias("cluster")).withColumnRenamed("id", row_id)
 
 
@@ -134,80 +135,105 @@ def deletions2(core: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(deletions(core), lambda x: deletions(x))))
 
 
-def _far_proposals(forms: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b): merges over two edits (deletions on either side, so a swap may count as one) of one business, for lone spellings of eight letters and more whose market agrees."""
-    f = forms.join(clusters, "node")
-    alone = f.groupBy("cluster").agg(F.sum("n").alias("size"))
-    full = f.where((F.col("business") != NONE) & ~F.col("initial") & (F.length("core") >= 8)).join(alone, "cluster")
-    keyed = full.select("cluster", "core", "business", "n", "size", "markets", F.explode(deletions2(F.col("core"))).alias("key"))
-    x, y = keyed.where(F.col("size") == 1).alias("x"), keyed.where(F.col("size") > 1).alias("y")
-    near = x.join(y, ["business", "key"]).where((F.col("x.cluster") != F.col("y.cluster")) & (F.levenshtein(F.col("x.core"), F.col("y.core")) <= 3))
-    clash = (F.size("x.markets") > 0) & (F.size("y.markets") > 0) & ~F.arrays_overlap("x.markets", "y.markets")
-    near = near.where(~clash).groupBy(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b")).agg(F.count("*").alias("keys"))
-    return near.groupBy("a").agg(F.count("*").alias("k"), F.min("b").alias("b")).where(F.col("k") == 1).select("a", "b")
-
-
-def _proposals(forms: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(a, b): one further merge for each profile that has a single best partner."""
+def _far_proposals(members: DataFrame) -> DataFrame:
+    """(a, b): merges over two edits (deletions on either side, so a swap may count as one) of one business, for lone
+    spellings of eight letters and more whose market does not disagree."""
+    full = members.where((F.col("business") != NONE) & ~F.col("initial") & (F.length("core") >= 8))
+    keyed = full.select("cluster", "core", "business", "size", "markets", F.explode(deletions2(F.col("core"))).alias("key"))
+    x, y = keyed.where(F.col("size") == 1).alias("x"), keyed.alias("y")
+    # a lone partner needs the same market; of two lone spellings the later one moves
+    firm = (F.col("y.size") > 1) | (F.arrays_overlap("x.markets", "y.markets") & (F.col("x.cluster") > F.col("y.cluster")))
+    near = x.join(y, ["business", "key"]).where((F.col("x.cluster") != F.col("y.cluster")) & firm & (F.levenshtein(F.col("x.core"), F.col("y.core")) <= 3))
+    near = near.where(~_clash(F.col("x.markets"), F.col("y.markets"))).groupBy(F.col("x.cluster").alias("a")).agg(F.count_distinct("y.cluster").alias("k"), F.min("y.cluster").alias("b"))
+    return near.where(F.col("k") == 1).select("a", "b")
+
+
+def _clash(a: Column, b: Column) -> Column:
+    """Whether markets are known on both sides and don't meet."""
+    return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
+
+
+def _keys() -> Column:
+    """The blocking keys of a form, as structs of key, rule and side (asks, is asked or both)."""
+    core, business, raw, rest = (F.col(c) for c in ("core", "business", "raw", "rest"))
+    named = (business != NONE) & ~F.col("initial")
+    nothing = F.array().cast("array<struct<rule:string,side:string,key:string>>")
+
+    def keyed(when: Column, rule: str, side: str, keys: Column) -> Column:
+        made = F.transform(keys, lambda k: F.struct(F.lit(rule).alias("rule"), F.lit(side).alias("side"), F.concat_ws("|", F.lit(rule), k).alias("key")))
+        return F.when(when, made).otherwise(nothing)
+
+    in_business = lambda keys: F.transform(keys, lambda k: F.concat_ws("|", business, k))
+    stem = F.regexp_replace(core, "(?:sy|ie|y|[aeiou])$", "")
+    tender = F.regexp_extract(core, "(?:sy|ie|y)$", 0) != ""
+    starts = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: core.substr(F.lit(1), F.length(core) - k))
+    return F.concat(
+        # one edit within a business; very short cores are too easily one edit apart
+        keyed(named & (F.length(core) >= 5), "edit", "both", in_business(deletions(core))),
+        # one character of the native spelling: sounds hide which of two swapped or mistaken characters it was
+        keyed(named & (F.length(raw) >= 3), "sign", "both", in_business(deletions(raw))),
+        # cores cut short
+        keyed(named & (F.length(core) >= 6), "clip", "asks", in_business(F.array(core))),
+        keyed(named & (F.length(core) >= 9), "clip", "asked", in_business(starts)),
+        # endings of endearment: the core up to its last vowels
+        keyed(named & (F.length(core) >= 6) & tender, "tender", "both", in_business(F.array(stem))),
+        keyed(named & (F.length(core) >= 6) & ~tender, "tender", "asked", in_business(F.array(stem))),
+        # names without business, by the core itself and by one edit
+        keyed((business == NONE) & ~F.col("initial"), "bare", "asks", F.array(core)),
+        keyed(named, "bare", "asked", F.array(core)),
+        keyed((business == NONE) & ~F.col("initial") & (F.length(core) >= 6), "loose", "asks", deletions(core)),
+        keyed(named & (F.length(core) >= 6), "loose", "asked", deletions(core)),
+        # first initials
+        keyed(F.col("initial") & rest.isNotNull(), "initial", "asks", F.array(rest)),
+        keyed(named & rest.isNotNull(), "initial", "asked", F.array(rest)),
+    )
+
+
+def _proposals(members: DataFrame) -> DataFrame:
+    """(a, b): one further merge for each profile that has a single best partner. All rules share one join on their keys."""
+    keyed = members.select("cluster", "core", "raw", "business", "first", "n", "top", "size", "markets", F.explode(_keys()).alias("k"))
+    keyed = keyed.select("*", "k.rule", "k.side", "k.key").drop("k")
+    x, y = keyed.where(F.col("side") != "asked").alias("x"), keyed.where(F.col("side") != "asks").alias("y")
+    met = x.join(y, F.col("x.key") == F.col("y.key")).where(F.col("x.cluster") != F.col("y.cluster"))
+    rule, cores = F.col("x.rule"), (F.col("x.core"), F.col("y.core"))
+    holds = (
+        F.when(rule.isin("edit", "loose"), within_one_edit(*cores))
+        .when(rule == "sign", within_one_edit(F.col("x.raw"), F.col("y.raw")))
+        .when(rule == "initial", F.startswith(F.col("y.first"), F.col("x.first")) & ((F.col("x.business") == F.col("y.business")) | (F.col("x.business") == NONE)))
+        .otherwise(True)
+    )
+    # the weaker joins the stronger; two sure ones stay apart; markets that are both known must meet
+    top_a, top_b, size_a, size_b = F.col("x.top"), F.col("y.top"), F.col("x.size"), F.col("y.size")
+    weaker = (top_a < ATTESTED) & ((top_a < top_b) | ((top_a == top_b) & ((size_a < size_b) | ((size_a == size_b) & (F.col("x.cluster") > F.col("y.cluster"))))))
+    met = met.where(holds & weaker & ~_clash(F.col("x.markets"), F.col("y.markets")))
+    kind = F.when(rule.isin("bare", "initial"), 0).when(rule.isin("loose", "clip"), 2).otherwise(1)
+    same = F.coalesce(F.arrays_overlap("x.markets", "y.markets"), F.lit(False)).cast("int")
+    offered = met.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.struct((-kind).alias("kind"), same.alias("same")).alias("rank"), F.col("y.n").alias("nb"), size_b.alias("size_b"))
+    offered = offered.groupBy("a", "rank", "b").agg(F.max("nb").alias("nb"), F.max("size_b").alias("size_b"))
+    ranked = offered.groupBy("a", "rank").agg(F.count("*").alias("k"), F.max_by("b", F.struct("nb", "size_b", "b")).alias("b"), F.max("nb").alias("nb"), F.min("nb").alias("least"))
+    best = ranked.groupBy("a").agg(F.max_by(F.struct("k", "b", "nb", "least", "rank"), "rank").alias("m")).select("a", "m.*")
+    # several equal partners: typing slips go to a clearly stronger one, bare names to none
+    return best.where((F.col("k") == 1) | ((F.col("rank.kind") == -1) & (F.col("nb") > 2 * F.col("least")))).select("a", "b")
+
+
+def _members(forms: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Forms with their profile: support of its best spelling, its size and markets."""
     f = forms.join(clusters, "node")
-    # a profile: support of its best spelling, its markets, business
     profile = f.groupBy("cluster").agg(
-        F.max(F.when((F.col("business") != NONE) & ~F.col("initial"), F.col("n"))).alias("top"), F.sum("n").alias("size"),
+        F.coalesce(F.max(F.when((F.col("business") != NONE) & ~F.col("initial"), F.col("n"))), F.lit(0)).alias("top"),
+        F.sum("n").alias("size"),
         F.array_distinct(F.flatten(F.collect_list("markets"))).alias("markets"),
-    )
-    full = f.where((F.col("business") != NONE) & ~F.col("initial")).select("node", "cluster", "core", "business", "n", "first", "rest", "raw")
-    # one edit within a business; short cores are too easily one edit apart
-    keyed = full.where(F.length("core") >= 5).select("cluster", "core", "business", "n", "node", F.explode(deletions(F.col("core"))).alias("key"))
-    left, right = keyed.alias("x"), keyed.alias("y")
-    near = left.join(right, ["business", "key"]).where((F.col("x.cluster") != F.col("y.cluster")) & within_one_edit(F.col("x.core"), F.col("y.core")))
-    near = near.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.lit(1).alias("kind"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    # one character of the native spelling: sounds hide which of two swapped or mistaken characters it was
-    signs = full.where(F.length("raw") >= 3).select("cluster", "business", "n", "raw").distinct()
-    signs = signs.withColumn("key", F.explode(deletions(F.col("raw"))))
-    written = signs.alias("x").join(signs.alias("y"), ["business", "key"]).where((F.col("x.cluster") != F.col("y.cluster")) & within_one_edit(F.col("x.raw"), F.col("y.raw")))
-    written = written.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.lit(1).alias("kind"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    # cores cut short
-    cut = full.where(F.length("core") >= 6).select("cluster", "core", "business", "n")
-    starts = cut.select("cluster", "business", "n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length("core") - 6)), lambda k: F.col("core").substr(F.lit(1), F.length("core") - k))).alias("key")).where(F.length("key") >= 6)
-    clipped = cut.select("cluster", F.col("core").alias("key"), "business", "n").alias("x").join(starts.alias("y"), ["business", "key"]).where(F.col("x.cluster") != F.col("y.cluster"))
-    clipped = clipped.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.lit(2).alias("kind"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    # endings of endearment: the core up to its last vowels
-    stem = F.regexp_replace("core", "(?:sy|ie|y|[aeiou])$", "")
-    stems = full.where(F.length("core") >= 6).select("cluster", "core", "business", "n", stem.alias("key"))
-    soft = F.regexp_extract("core", "(?:sy|ie|y)$", 0) != ""
-    tender = stems.where(soft).alias("x").join(stems.alias("y"), ["business", "key"]).where(F.col("x.cluster") != F.col("y.cluster"))
-    tender = tender.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.lit(1).alias("kind"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    # names without business, by the core itself and then by one edit
-    bare = f.where((F.col("business") == NONE) & ~F.col("initial")).select("cluster", "core", "n")
-    cores = full.select("cluster", "core", "n").distinct()
-    exact = bare.alias("x").join(cores.alias("y"), "core").where(F.col("x.cluster") != F.col("y.cluster")).select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("na"), F.col("y.n").alias("nb"))
-    bk = bare.where(F.length("core") >= 6).select("cluster", "core", "n", F.explode(deletions(F.col("core"))).alias("key"))
-    ck = cores.where(F.length("core") >= 6).select("cluster", "core", "n", F.explode(deletions(F.col("core"))).alias("key"))
-    loose = bk.alias("x").join(ck.alias("y"), "key").where((F.col("x.cluster") != F.col("y.cluster")) & within_one_edit(F.col("x.core"), F.col("y.core")))
-    loose = loose.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.lit(2).alias("kind"), F.lit(0).cast("long").alias("na"), F.col("y.n").alias("nb"))
-    # first initials: same rest and business, the first word begins with the initial
-    short = f.where(F.col("initial")).select("cluster", "first", "rest", "business", "n")
-    spoken = full.where(F.col("rest").isNotNull() & F.col("first").isNotNull()).select("cluster", "first", "rest", "business", "n")
-    start = short.alias("x").join(spoken.alias("y"), ["rest"]).where(
-        (F.col("x.cluster") != F.col("y.cluster")) & F.startswith(F.col("y.first"), F.col("x.first")) & ((F.col("x.business") == F.col("y.business")) | (F.col("x.business") == NONE))
     )
-    start = start.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("na"), F.col("y.n").alias("nb"))
-    offered = near.unionByName(written).unionByName(clipped).unionByName(tender).unionByName(exact).unionByName(loose).unionByName(start)
-    offered = offered.groupBy("a", "b").agg(F.min("kind").alias("kind"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    pa = profile.select(F.col("cluster").alias("a"), F.col("top").alias("top_a"), F.col("markets").alias("ma"), F.col("size").alias("size_a"))
-    pb = profile.select(F.col("cluster").alias("b"), F.col("top").alias("top_b"), F.col("markets").alias("mb"), F.col("size").alias("size_b"))
-    offered = offered.join(pa, "a").join(pb, "b")
-    top_a, top_b = F.coalesce("top_a", F.lit(0)), F.coalesce("top_b", F.lit(0))
-    # the weaker joins the stronger; two sure ones stay apart; markets that are both known must meet
-    weaker = (top_a < ATTESTED) & ((top_a < top_b) | ((top_a == top_b) & ((F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") > F.col("b"))))))
-    clash = (F.size("ma") > 0) & (F.size("mb") > 0) & ~F.arrays_overlap("ma", "mb")
-    offered = offered.where(weaker & ~clash).withColumn("same", F.coalesce(F.arrays_overlap("ma", "mb"), F.lit(False)))
-    rank = F.struct(-F.col("kind"), F.col("same").cast("int"))
-    best = offered.groupBy("a").agg(F.max(rank).alias("rank"))
-    chosen = offered.withColumn("r", rank).join(best, "a").where(F.col("r") == F.col("rank"))
-    single = chosen.groupBy("a").agg(F.count("*").alias("k"), F.max_by("b", F.struct("nb", "size_b", "b")).alias("b"), F.max("nb").alias("nb"), F.min("nb").alias("least"), F.min("kind").alias("kind"))
-    # several equal partners: typing slips go to a clearly stronger one, bare names to none
-    return single.where((F.col("k") == 1) | ((F.col("kind") == 1) & (F.col("nb") > 2 * F.col("least")))).select("a", "b")
+    return f.drop("markets").join(profile, "cluster")
+
+
+def _follow(clusters: DataFrame, found: DataFrame) -> DataFrame:
+    """Clusters after merges; partners that themselves moved are followed two steps, the next round finds what is left."""
+    step = found.select(F.col("a").alias("at"), F.col("b").alias("to"))
+    for _ in range(2):
+        further = step.select(F.col("at").alias("to"), F.col("to").alias("next"))
+        step = step.join(further, "to", "left").select("at", F.coalesce("next", "to").alias("to"))
+    return clusters.join(step, F.col("cluster") == F.col("at"), "left").select("node", F.coalesce("to", "cluster").alias("cluster"))
 
 
 def same_pairs(resolved: DataFrame, row_id: str = "alias_id") -> DataFrame:
