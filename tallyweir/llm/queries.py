@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyweir.llm.aliases import resolve, same_pairs
 from tallyweir.llm.linking import match_profiles
+from tallyweir.llm.prose import prose_probability
 from tallyweir.llm.scans import page_noise
 from tallyweir.llm.sentences import sentence_ends
 from tallyweir.session import table
@@ -30,5 +32,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_pairs(resolve(table(spark, sf_dir, "aliases")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose_probability(table(spark, sf_dir, "documents")).where(F.col("not_prose") > 0.5).select("doc_id").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p10_found": p10_found}
 ORACLE: dict[str, str] = {}
