@@ -1,9 +1,10 @@
 """Variant spellings of names typed by people (problem 7): merge-and-rematch resolution.
 
-A text becomes one or more forms (core by sound, business, initial). Equal forms are one node; spellings given side by side
-join their nodes. Then, round by round until nothing merges:
+A text becomes one or more forms (core by sound, business, initial). Equal forms are one node. Then, round by round until
+nothing merges:
 
 * Every cluster is a profile with all core spellings and initials of its members.
+* Spellings that stood side by side in one text merge without further proof.
 * Spellings block on what one edit leaves intact: the core itself and every core with one letter left out, which finds all
   cores within one edit (insertion, deletion, substitution, swap) of the same business.
 * A weak profile (few equal spellings) joins the one best stronger profile; two profiles that are both well attested stay apart.
@@ -26,7 +27,6 @@ from tallyweir.llm.names import Lexicon, learn_lexicon
 from tallyweir.session import checkpointed, ship_package
 
 ATTESTED = 2  # equal spellings that make a core sure
-ROUNDS = 12  # rounds end earlier, when nothing merges
 NONE = "~"
 
 
@@ -70,30 +70,6 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | swapped
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, cluster): connected components by large-star and small-star, so that long chains need few rounds.
-
-    ``edges`` has columns a and b. Nothing is collected but one count a round; each round is written to the checkpoint folder.
-    """
-    links = checkpointed(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = -1
-    while True:
-        # large star: every greater neighbour of a node points to the node's least neighbour
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
-        # small star: a node and its smaller neighbours point to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = checkpointed(small.unionByName(least.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        now = links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == before:
-            break
-        before = now
-    root = links.groupBy("a").agg(F.min("b").alias("b"))
-    return nodes.join(root, nodes["node"] == root["a"], "left").select("node", F.coalesce("b", "node").alias("cluster"))
-
-
 def resolve(rows: DataFrame, row_id: str = "alias_id", text: str = "text", market: str | None = "market", lexicon: Lexicon | None = None) -> DataFrame:
     """(row_id, cluster): rows that name the same company share a cluster.
 
@@ -107,17 +83,19 @@ def resolve(rows: DataFrame, row_id: str = "alias_id", text: str = "text", marke
     local = F.when(sure, F.lit("")).otherwise(F.coalesce("market", F.lit("")))
     form = F.concat_ws("|", "core", "business", F.col("initial").cast("string"), local)
     read = read.withColumn("node", form)
+    # spellings given side by side: each distinct pair of forms is a key that both hold
+    beside = read.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") != F.col("b")).select("a", "b").distinct()
+    pair = F.concat_ws("~~", "a", "b")
+    links = beside.select(F.explode(F.array("a", "b")).alias("node"), pair.alias("pair")).groupBy("node").agg(F.collect_set("pair").alias("links"))
     forms = read.groupBy("node").agg(
         F.first("core").alias("core"), F.first("business").alias("business"), F.first("initial").alias("initial"),
         F.min(F.nullif("first", F.lit(""))).alias("first"), F.min(F.nullif("rest", F.lit(""))).alias("rest"), F.min(F.nullif("raw", F.lit(""))).alias("raw"),
         F.count_distinct("id").alias("n"), F.collect_set("market").alias("markets"),
     )
-    forms = checkpointed(forms)
-    spelled = read.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-    edges = checkpointed(spelled.where(F.col("a") != F.col("b")).select("a", "b"))
-    clusters = checkpointed(components(forms.select("node"), edges))
+    forms = checkpointed(forms.join(links, "node", "left"))
+    clusters = forms.select("node", F.col("node").alias("cluster"))
     far = False
-    for _ in range(ROUNDS):
+    while True:
         members = _members(forms, clusters)
         found = checkpointed(_far_proposals(members) if far else _proposals(members))
         if found.isEmpty():
@@ -183,6 +161,8 @@ def _keys() -> Column:
         keyed(named, "bare", "asked", F.array(core)),
         keyed((business == NONE) & ~F.col("initial") & (F.length(core) >= 6), "loose", "asks", deletions(core)),
         keyed(named & (F.length(core) >= 6), "loose", "asked", deletions(core)),
+        # two spellings that stood side by side somewhere
+        keyed(F.col("links").isNotNull(), "link", "both", F.col("links")),
         # first initials
         keyed(F.col("initial") & rest.isNotNull(), "initial", "asks", F.array(rest)),
         keyed(named & rest.isNotNull(), "initial", "asked", F.array(rest)),
@@ -204,16 +184,17 @@ def _proposals(members: DataFrame) -> DataFrame:
     )
     # the weaker joins the stronger; two sure ones stay apart; markets that are both known must meet
     top_a, top_b, size_a, size_b = F.col("x.top"), F.col("y.top"), F.col("x.size"), F.col("y.size")
-    weaker = (top_a < ATTESTED) & ((top_a < top_b) | ((top_a == top_b) & ((size_a < size_b) | ((size_a == size_b) & (F.col("x.cluster") > F.col("y.cluster"))))))
-    met = met.where(holds & weaker & ~_clash(F.col("x.markets"), F.col("y.markets")))
-    kind = F.when(rule.isin("bare", "initial"), 0).when(rule.isin("loose", "clip"), 2).otherwise(1)
+    weaker = (top_a < top_b) | ((top_a == top_b) & ((size_a < size_b) | ((size_a == size_b) & (F.col("x.cluster") > F.col("y.cluster")))))
+    apart = (top_a >= ATTESTED) | _clash(F.col("x.markets"), F.col("y.markets"))
+    met = met.where(holds & weaker & ((rule == "link") | ~apart))
+    kind = F.when(rule == "link", -1).when(rule.isin("bare", "initial"), 0).when(rule.isin("loose", "clip"), 2).otherwise(1)
     same = F.coalesce(F.arrays_overlap("x.markets", "y.markets"), F.lit(False)).cast("int")
     offered = met.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.struct((-kind).alias("kind"), same.alias("same")).alias("rank"), F.col("y.n").alias("nb"), size_b.alias("size_b"))
     offered = offered.groupBy("a", "rank", "b").agg(F.max("nb").alias("nb"), F.max("size_b").alias("size_b"))
     ranked = offered.groupBy("a", "rank").agg(F.count("*").alias("k"), F.max_by("b", F.struct("nb", "size_b", "b")).alias("b"), F.max("nb").alias("nb"), F.min("nb").alias("least"))
     best = ranked.groupBy("a").agg(F.max_by(F.struct("k", "b", "nb", "least", "rank"), "rank").alias("m")).select("a", "m.*")
     # several equal partners: typing slips go to a clearly stronger one, bare names to none
-    return best.where((F.col("k") == 1) | ((F.col("rank.kind") == -1) & (F.col("nb") > 2 * F.col("least")))).select("a", "b")
+    return best.where((F.col("k") == 1) | (F.col("rank.kind") == 1) | ((F.col("rank.kind") == -1) & (F.col("nb") > 2 * F.col("least")))).select("a", "b")
 
 
 def _members(forms: DataFrame, clusters: DataFrame) -> DataFrame:
