@@ -162,7 +162,7 @@ def _compare_run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             if len(where):
                 out.append(pd.DataFrame({"seq": np.int32(s), "__key": names[where.astype(np.int64)], "change": change}))
         before = now
-    return pd.concat(out) if out else pd.DataFrame({"seq": np.empty(0, np.int32), "__key": [], "change": []})
+    return pd.concat(out) if out else pd.DataFrame({"seq": np.empty(0, np.int32), "__key": np.empty(0, object), "change": np.empty(0, object)})
 
 
 def membership_bounds(rows: DataFrame, snapshots: DataFrame, key: str = "security_id", kind: str = "universe") -> DataFrame:
