@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -61,6 +63,31 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read again, with its lineage cut."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once as a Parquet table in the shared checkpoint folder and read again, with its lineage cut.
+
+    A table is computed once, where ``DataFrame.checkpoint`` runs the last stage twice, and is columnar and compressed. The tables of a
+    session go when its driver ends.
+    """
+    spark = df.sparkSession
+    base = f"{checkpoint_folder(spark)}/tables"
+    if base not in _TABLES:
+        _TABLES[base] = []
+        atexit.register(_drop_tables, spark, base)
+    path = f"{base}/{uuid.uuid4().hex}"
+    _TABLES[base].append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_TABLES: dict[str, list[str]] = {}
+
+
+def _drop_tables(spark: SparkSession, base: str) -> None:
+    """Remove the tables that this driver wrote, as far as its session still runs."""
+    try:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _TABLES.get(base, []):
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session has ended before: the folder's owner cleans up
+        pass
