@@ -92,12 +92,17 @@ def resolve(rows: DataFrame, row_id: str = "alias_id", text: str = "text", marke
         F.min(F.nullif("first", F.lit(""))).alias("first"), F.min(F.nullif("rest", F.lit(""))).alias("rest"), F.min(F.nullif("raw", F.lit(""))).alias("raw"),
         F.count_distinct("id").alias("n"), F.collect_set("market").alias("markets"),
     )
-    forms = checkpointed(forms.join(links, "node", "left"))
+    forms = checkpointed(forms.join(links, "node", "left"))  # small beside the rows: one per distinct spelling
     clusters = forms.select("node", F.col("node").alias("cluster"))
+    near_pairs = far_pairs = None
     far = False
     while True:
-        members = _members(forms, clusters)
-        found = checkpointed(_far_proposals(members) if far else _proposals(members))
+        members = checkpointed(_members(forms, clusters))
+        if near_pairs is None:
+            near_pairs = checkpointed(_pairs(forms))
+        if far and far_pairs is None:
+            far_pairs = checkpointed(_far_pairs(forms))
+        found = checkpointed(_proposals(far_pairs if far else near_pairs, members, far))
         if found.isEmpty():
             if far:
                 break
@@ -113,17 +118,14 @@ def deletions2(core: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(deletions(core), lambda x: deletions(x))))
 
 
-def _far_proposals(members: DataFrame) -> DataFrame:
-    """(a, b): merges over two edits (deletions on either side, so a swap may count as one) of one business, for lone
-    spellings of eight letters and more whose market does not disagree."""
-    full = members.where((F.col("business") != NONE) & ~F.col("initial") & (F.length("core") >= 8))
-    keyed = full.select("cluster", "core", "business", "size", "markets", F.explode(deletions2(F.col("core"))).alias("key"))
-    x, y = keyed.where(F.col("size") == 1).alias("x"), keyed.alias("y")
-    # a lone partner needs the same market; of two lone spellings the later one moves
-    firm = (F.col("y.size") > 1) | (F.arrays_overlap("x.markets", "y.markets") & (F.col("x.cluster") > F.col("y.cluster")))
-    near = x.join(y, ["business", "key"]).where((F.col("x.cluster") != F.col("y.cluster")) & firm & (F.levenshtein(F.col("x.core"), F.col("y.core")) <= 3))
-    near = near.where(~_clash(F.col("x.markets"), F.col("y.markets"))).groupBy(F.col("x.cluster").alias("a")).agg(F.count_distinct("y.cluster").alias("k"), F.min("y.cluster").alias("b"))
-    return near.where(F.col("k") == 1).select("a", "b")
+def _far_pairs(forms: DataFrame) -> DataFrame:
+    """(x, y, kind): lone spellings of eight letters and more within two edits (deletions on either side, so a swap may count as
+    one) of another spelling of their business."""
+    full = forms.where((F.col("business") != NONE) & ~F.col("initial") & (F.length("core") >= 8))
+    keyed = full.select("node", "core", "business", "n", F.explode(deletions2(F.col("core"))).alias("key"))
+    x, y = keyed.where(F.col("n") == 1).alias("x"), keyed.alias("y")
+    near = x.join(y, ["business", "key"]).where((F.col("x.node") != F.col("y.node")) & (F.levenshtein(F.col("x.core"), F.col("y.core")) <= 3))
+    return near.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.lit(3).alias("kind")).distinct()
 
 
 def _clash(a: Column, b: Column) -> Column:
@@ -169,12 +171,14 @@ def _keys() -> Column:
     )
 
 
-def _proposals(members: DataFrame) -> DataFrame:
-    """(a, b): one further merge for each profile that has a single best partner. All rules share one join on their keys."""
-    keyed = members.select("cluster", "core", "raw", "business", "first", "n", "top", "size", "markets", F.explode(_keys()).alias("k"))
-    keyed = keyed.select("*", "k.rule", "k.side", "k.key").drop("k")
+def _pairs(forms: DataFrame) -> DataFrame:
+    """(x, y, kind): which form could stand for which, by any rule. All rules share one join on their keys, made once.
+
+    kind: -1 side by side, 0 the same core or an initial, 1 one slip, 2 a shortened or bare name with a slip.
+    """
+    keyed = forms.select("node", "core", "raw", "business", "first", F.explode(_keys()).alias("k")).select("*", "k.rule", "k.side", "k.key").drop("k")
     x, y = keyed.where(F.col("side") != "asked").alias("x"), keyed.where(F.col("side") != "asks").alias("y")
-    met = x.join(y, F.col("x.key") == F.col("y.key")).where(F.col("x.cluster") != F.col("y.cluster"))
+    met = x.join(y, F.col("x.key") == F.col("y.key")).where(F.col("x.node") != F.col("y.node"))
     rule, cores = F.col("x.rule"), (F.col("x.core"), F.col("y.core"))
     holds = (
         F.when(rule.isin("edit", "loose"), within_one_edit(*cores))
@@ -182,15 +186,26 @@ def _proposals(members: DataFrame) -> DataFrame:
         .when(rule == "initial", F.startswith(F.col("y.first"), F.col("x.first")) & ((F.col("x.business") == F.col("y.business")) | (F.col("x.business") == NONE)))
         .otherwise(True)
     )
-    # the weaker joins the stronger; two sure ones stay apart; markets that are both known must meet
-    top_a, top_b, size_a, size_b = F.col("x.top"), F.col("y.top"), F.col("x.size"), F.col("y.size")
-    weaker = (top_a < top_b) | ((top_a == top_b) & ((size_a < size_b) | ((size_a == size_b) & (F.col("x.cluster") > F.col("y.cluster")))))
-    apart = (top_a >= ATTESTED) | _clash(F.col("x.markets"), F.col("y.markets"))
-    met = met.where(holds & weaker & ((rule == "link") | ~apart))
     kind = F.when(rule == "link", -1).when(rule.isin("bare", "initial"), 0).when(rule.isin("loose", "clip"), 2).otherwise(1)
-    same = F.coalesce(F.arrays_overlap("x.markets", "y.markets"), F.lit(False)).cast("int")
-    offered = met.select(F.col("x.cluster").alias("a"), F.col("y.cluster").alias("b"), F.struct((-kind).alias("kind"), same.alias("same")).alias("rank"), F.col("y.n").alias("nb"), size_b.alias("size_b"))
-    offered = offered.groupBy("a", "rank", "b").agg(F.max("nb").alias("nb"), F.max("size_b").alias("size_b"))
+    return met.where(holds).groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y")).agg(F.min(kind).alias("kind"))
+
+
+def _proposals(pairs: DataFrame, members: DataFrame, far: bool) -> DataFrame:
+    """(a, b): one further merge for each profile that has a single best partner among its members' pairs."""
+    side = lambda s: members.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("cluster", "n", "top", "size", "markets")])
+    met = pairs.join(side("x"), "x").join(side("y"), "y").where(F.col("cluster_x") != F.col("cluster_y"))
+    same, clash = F.coalesce(F.arrays_overlap("markets_x", "markets_y"), F.lit(False)), _clash(F.col("markets_x"), F.col("markets_y"))
+    if far:
+        # a lone partner needs the same market; of two lone spellings the later one moves
+        firm = (F.col("size_y") > 1) | (same & (F.col("cluster_x") > F.col("cluster_y")))
+        met = met.where((F.col("size_x") == 1) & firm & ~clash)
+        chosen = met.groupBy(F.col("cluster_x").alias("a")).agg(F.count_distinct("cluster_y").alias("k"), F.min("cluster_y").alias("b"))
+        return chosen.where(F.col("k") == 1).select("a", "b")
+    # the weaker joins the stronger; two sure ones stay apart; markets that are both known must meet
+    weaker = (F.col("top_x") < F.col("top_y")) | ((F.col("top_x") == F.col("top_y")) & ((F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("cluster_x") > F.col("cluster_y")))))
+    met = met.where(weaker & ((F.col("kind") == -1) | ~((F.col("top_x") >= ATTESTED) | clash)))
+    rank = F.struct((-F.col("kind")).alias("kind"), same.cast("int").alias("same"))
+    offered = met.groupBy(F.col("cluster_x").alias("a"), rank.alias("rank"), F.col("cluster_y").alias("b")).agg(F.max("n_y").alias("nb"), F.max("size_y").alias("size_b"))
     ranked = offered.groupBy("a", "rank").agg(F.count("*").alias("k"), F.max_by("b", F.struct("nb", "size_b", "b")).alias("b"), F.max("nb").alias("nb"), F.min("nb").alias("least"))
     best = ranked.groupBy("a").agg(F.max_by(F.struct("k", "b", "nb", "least", "rank"), "rank").alias("m")).select("a", "m.*")
     # several equal partners: typing slips go to a clearly stronger one, bare names to none
@@ -205,7 +220,7 @@ def _members(forms: DataFrame, clusters: DataFrame) -> DataFrame:
         F.sum("n").alias("size"),
         F.array_distinct(F.flatten(F.collect_list("markets"))).alias("markets"),
     )
-    return f.drop("markets").join(profile, "cluster")
+    return f.select("node", "cluster", "n").join(profile, "cluster")
 
 
 def _follow(clusters: DataFrame, found: DataFrame) -> DataFrame:
