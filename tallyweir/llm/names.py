@@ -209,6 +209,8 @@ class Lexicon:
             probe = self.business(tuple(tokens[-2:]))
             if probe is None and any(self.business(tuple(tokens[-k - 1 : -1])) for k in (1, 2) if len(tokens) > k + 1):
                 legal.append(tokens.pop())
+        if tokens and tokens[-1].rstrip(".") in ("intl", "international", "int") and any(self.business(tuple(tokens[-k - 1 : -1])) for k in (1, 2) if len(tokens) > k + 1):
+            legal.append(tokens.pop())
         for k in (3, 2, 1):
             if len(tokens) > k:
                 found = self.business(tuple(tokens[-k:]))
