@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Code-point classes of the scripts that are counted.
 HAN, KANA, HANGUL, LATIN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]", r"[\x{3040}-\x{30ff}]", r"[\x{ac00}-\x{d7a3}]", r"[A-Za-z]"
@@ -89,7 +90,7 @@ def html_title(col: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.regexp_extract(col, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")), F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_fold(texts: pd.Series) -> pd.Series:
     """Compatible forms and case folding, which no built-in offers."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())

@@ -12,8 +12,9 @@ PACK_FORMAT = 1
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects): JSON lines of a given schema and the lines that are no such record."""
     wide = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
-    raw = spark.read.schema(wide).option("columnNameOfCorruptRecord", "__bad").option("mode", "PERMISSIVE").json(path)
-    return raw.where(F.col("__bad").isNull()).drop("__bad"), raw.where(F.col("__bad").isNotNull()).select(F.col("__bad").alias("line"))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    raw = lines.select("value", F.from_json("value", wide, {"columnNameOfCorruptRecord": "__bad", "mode": "PERMISSIVE"}).alias("r"))
+    return raw.where(F.col("r.__bad").isNull()).select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema]), raw.where(F.col("r.__bad").isNotNull()).select(F.col("value").alias("line"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, **options: str) -> DataFrame:
