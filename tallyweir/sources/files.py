@@ -44,7 +44,7 @@ def row_sha(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def write_pack(df: DataFrame, licences: DataFrame, source: str, allowed: tuple[str, ...], path: str, files: int = 8) -> None:
     """Rows whose source has an allowed licence tier as gzip JSON lines, each with its hash. Rows of unknown sources stay out."""
     open_sources = licences.where(F.col("license_tier").isin(*allowed)).select(F.col("source_id").alias(source)).distinct()
-    row_sha(df.join(open_sources, source, "left_semi")).repartition(files).write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", "false").json(path)
+    row_sha(df.join(open_sources, source, "left_semi").select(*df.columns)).repartition(files).write.mode("overwrite").option("compression", "gzip").option("ignoreNullFields", "false").json(path)
 
 
 def read_pack(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
