@@ -35,3 +35,21 @@ def ranking_diff(before: DataFrame, after: DataFrame, key: str, rank: str = "ran
     b, a = before.select(key, F.col(rank).alias("rank_before")), after.select(key, F.col(rank).alias("rank_after"))
     change = F.when(F.col("rank_before").isNull(), "added").when(F.col("rank_after").isNull(), "removed").when(F.col("rank_before") != F.col("rank_after"), "moved")
     return b.join(a, key, "full").withColumn("change", change).where(F.col("change").isNotNull()).select(key, "change", "rank_before", "rank_after")
+
+
+def backfilled(df: DataFrame, before: list[Column], now: list[Column], k: int, key: str) -> DataFrame:
+    """(key, rank_before, rank_now, backfill): whether a row stands in the first ``k`` now and did not before."""
+    both = ranked(df, before, name="rank_before").select(key, "rank_before").join(ranked(df, now, name="rank_now").select(key, "rank_now"), key)
+    return both.withColumn("backfill", (F.col("rank_now") <= k) & (F.col("rank_before") > k))
+
+
+def inclusion_probability(df: DataFrame, key: str, p: str, sd: str, k: int, draws: int = 500, seed: int = 11) -> DataFrame:
+    """(key, inclusion): share of draws in which a row is among the first ``k`` when its value is read with normal noise, cut to [0, 1].
+
+    Noise comes from a counter-based hash of (seed, key, draw), so a repeated task draws the same. Each draw is a group of its own.
+    """
+    unit = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key), F.col("draw")), F.lit(1 << 52)) + F.lit(0.5)) / float(1 << 52)
+    noise = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * F.pi() * unit(2))
+    drawn = df.select(key, p, sd).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("v", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(p) + noise * F.col(sd))))
+    top = top_per_group(drawn, ["draw"], [F.desc("v"), F.col(key)], k).groupBy(key).agg((F.count("*") / draws).alias("inclusion"))
+    return df.select(key).join(top, key, "left").select(key, F.coalesce("inclusion", F.lit(0.0)).alias("inclusion"))

@@ -548,6 +548,57 @@ def tier_rollup(spark: SparkSession, d: str) -> DataFrame:
     return joined.rollup("c_mktsegment", "n_name").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean")).select(F.coalesce("c_mktsegment", F.lit("_all")).alias("segment"), F.coalesce("n_name", F.lit("_all")).alias("nation"), "n", "mean")
 
 
+@query("""
+WITH b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank_before FROM supplier), n AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC, s_suppkey) AS rank_now FROM supplier)
+SELECT s_suppkey, rank_before, rank_now, rank_now <= 10 AND rank_before > 10 AS backfill FROM b JOIN n USING (s_suppkey)
+""")
+def backfill_flag(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.backfilled(table(spark, d, "supplier"), [F.desc("s_acctbal"), F.col("s_suppkey")], [F.col("s_nationkey"), F.desc("s_acctbal"), F.col("s_suppkey")], 10, "s_suppkey")
+
+
+@query()
+def inclusion_probability(spark: SparkSession, d: str) -> DataFrame:
+    """Seeded draws; tested against a brute-force simulation."""
+    shares = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("p"), F.stddev_pop("l_discount").alias("sd"))
+    return ranking.inclusion_probability(shares, "l_suppkey", "p", "sd", 10, draws=100)
+
+
+@query("""
+WITH r AS (SELECT l_suppkey, l_linestatus AS tier, CASE l_returnflag WHEN 'A' THEN 'right' WHEN 'R' THEN 'wrong' END AS label FROM lineitem),
+t AS (SELECT tier, count(*) FILTER (WHERE label = 'right') / nullif(count(label), 0) AS p FROM r GROUP BY 1), a AS (SELECT count(*) FILTER (WHERE label = 'right') / nullif(count(label), 0) AS p FROM r)
+SELECT l_suppkey, count(*) AS shown, round(sum(CASE WHEN label = 'right' THEN 1.0 WHEN label IS NOT NULL THEN 0.0 ELSE coalesce(t.p, a.p) END) / count(*), 6) AS estimate FROM r JOIN t USING (tier), a GROUP BY 1
+""")
+def estimated_precision(spark: SparkSession, d: str) -> DataFrame:
+    label = F.when(F.col("l_returnflag") == "A", "right").when(F.col("l_returnflag") == "R", "wrong")
+    return evaluate.estimated_precision(table(spark, d, "lineitem").select("l_suppkey", F.col("l_linestatus").alias("tier"), label.alias("label")), "l_suppkey", "tier", "label")
+
+
+@query("""
+SELECT m.security_id, bool_or(m.volume IS NOT NULL) AS has_newest FROM market_daily m JOIN (SELECT security_id, max(as_of) AS as_of FROM market_daily GROUP BY 1) x USING (security_id, as_of) GROUP BY 1
+""")
+def ttm_latest_flag(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the newest day has a value, without falling back: one aggregation on (day, has value)."""
+    best = F.max(F.struct("as_of", F.col("volume").isNotNull().alias("has"))).alias("m")
+    return table(spark, d, "market_daily").where(F.col("as_of").isNotNull()).groupBy("security_id").agg(best).select("security_id", F.col("m.has").alias("has_newest"))
+
+
+@query("SELECT c.c_custkey, coalesce((SELECT round(sum(o.o_totalprice), 2) FROM orders o WHERE o.o_custkey = c.c_custkey), 0) AS spent FROM customer c")
+def spend_by_run(spark: SparkSession, d: str) -> DataFrame:
+    spent = table(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("s"))
+    return table(spark, d, "customer").join(spent, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("s", F.lit(0.0)).alias("spent"))
+
+
+@query("SELECT item_id, coalesce(array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {_matches(t)} THEN '{t}' END" for t in TERMS) + "], lambda x: x IS NOT NULL)), '; '), '') AS terms FROM items WHERE text IS NOT NULL")
+def matched_terms(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "items").where(F.col("text").isNotNull()).select("item_id", F.array_join(F.array_sort(corpus.term_flags(F.col("text"), TERMS)), "; ").alias("terms"))
+
+
+@query("SELECT coalesce(CAST(exchange AS VARCHAR), '_all') AS exchange, coalesce(CAST(tv_type AS VARCHAR), '_all') AS tv_type, count(*) AS n, count(DISTINCT company_key) AS companies FROM securities GROUP BY CUBE (exchange, tv_type)")
+def coverage_cube(spark: SparkSession, d: str) -> DataFrame:
+    cube = table(spark, d, "securities").cube("exchange", "tv_type").agg(F.count("*").alias("n"), F.count_distinct("company_key").alias("companies"))
+    return cube.select(F.coalesce("exchange", F.lit("_all")).alias("exchange"), F.coalesce("tv_type", F.lit("_all")).alias("tv_type"), "n", "companies")
+
+
 # --- set operations ---------------------------------------------------------------------------------------------------
 
 

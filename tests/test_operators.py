@@ -132,3 +132,14 @@ def test_entry_contract(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and {"p1_found", "p3_found", "p6_found"} <= set(queries) and len(queries) > 60
     assert entry.entry(spark).count() > 0
+
+
+def test_inclusion_matches_simulation(spark):
+    import numpy as np
+
+    p, sd = [0.2, 0.4, 0.5, 0.55, 0.6, 0.9], [0.1, 0.1, 0.1, 0.1, 0.1, 0.0]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(p, sd))], "k int, p double, sd double")
+    found = [r["inclusion"] for r in ranking.inclusion_probability(df, "k", "p", "sd", 3, draws=800).orderBy("k").collect()]
+    draws = np.clip(np.random.default_rng(0).normal(p, sd, (20_000, 6)), 0, 1)
+    expected = (draws.argsort(axis=1)[:, ::-1][:, :3][:, :, None] == np.arange(6)).any(axis=1).mean(axis=0)
+    assert found == pytest.approx(list(expected), abs=0.05) and found[5] == 1.0 and sum(found) == pytest.approx(3)
