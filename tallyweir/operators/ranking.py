@@ -30,11 +30,12 @@ def first_verdict(*columns: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns])
 
 
-def ranking_diff(before: DataFrame, after: DataFrame, key: str, rank: str = "rank") -> DataFrame:
+def ranking_diff(before: DataFrame, after: DataFrame, key: str | list[str], rank: str = "rank") -> DataFrame:
     """(key, change, rank_before, rank_after): rows added, removed or moved between two rankings."""
-    b, a = before.select(key, F.col(rank).alias("rank_before")), after.select(key, F.col(rank).alias("rank_after"))
+    keys = [key] if isinstance(key, str) else key
+    b, a = before.select(*keys, F.col(rank).alias("rank_before")), after.select(*keys, F.col(rank).alias("rank_after"))
     change = F.when(F.col("rank_before").isNull(), "added").when(F.col("rank_after").isNull(), "removed").when(F.col("rank_before") != F.col("rank_after"), "moved")
-    return b.join(a, key, "full").withColumn("change", change).where(F.col("change").isNotNull()).select(key, "change", "rank_before", "rank_after")
+    return b.join(a, keys, "full").withColumn("change", change).where(F.col("change").isNotNull()).select(*keys, "change", "rank_before", "rank_after")
 
 
 def backfilled(df: DataFrame, before: list[Column], now: list[Column], k: int, key: str) -> DataFrame:

@@ -514,6 +514,18 @@ def ranking_diff(spark: SparkSession, d: str) -> DataFrame:
     return ranking.ranking_diff(by("l_quantity"), by("l_extendedprice"), "part")
 
 
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS b, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity) AS a FROM lineitem)
+SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, 'moved' AS change, CAST(b AS INTEGER) AS rank_before, CAST(a AS INTEGER) AS rank_after FROM r WHERE a <> b
+""")
+def ranking_diff_all(spark: SparkSession, d: str) -> DataFrame:
+    """All suppliers' rows; ``ranking_diff`` has the rows that its SQL names. Line numbers repeat within orders, so part and figures are in the key."""
+    key = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
+    rows = table(spark, d, "lineitem").select(*key)
+    by = lambda c, last: ranking.ranked(rows, [F.desc(c), *map(F.col, key[1:4]), F.col(last)], ["l_suppkey"]).select(*key, "rank")
+    return ranking.ranking_diff(by("l_quantity", "l_extendedprice"), by("l_extendedprice", "l_quantity"), key)
+
+
 @query("SELECT alias_id, coalesce(nullif(norm, ''), nullif(text, ''), nullif(market, '')) AS verdict FROM aliases")
 def pins_precedence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "aliases").select("alias_id", ranking.first_verdict("norm", "text", "market").alias("verdict"))

@@ -134,6 +134,14 @@ def test_entry_contract(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_ranking_diff_of_all_suppliers(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    lines = [(1, 1, 1, 7, 5.0, 1.0), (1, 2, 1, 7, 4.0, 2.0), (2, 1, 1, 8, 5.0, 1.0), (2, 2, 1, 8, 4.0, 2.0), (3, 1, 1, 9, 1.0, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert rows(entry.queries()["ranking_diff_all"](spark, str(tmp_path))) == [(7, 1, 1, 1, 5.0, 1.0, "moved", 1, 2), (7, 1, 2, 1, 4.0, 2.0, "moved", 2, 1), (8, 2, 1, 1, 5.0, 1.0, "moved", 1, 2), (8, 2, 2, 1, 4.0, 2.0, "moved", 2, 1)]
+
+
 def test_inclusion_matches_simulation(spark):
     import numpy as np
 
