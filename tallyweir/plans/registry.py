@@ -462,6 +462,17 @@ def packet_assign(spark: SparkSession, d: str) -> DataFrame:
     return inference.packets(items, ["lang"], [F.col("item_id")], F.octet_length("text"), 8, 24_000).select("item_id", "lang", "packet_no")
 
 
+@query("""
+WITH r AS (SELECT item_id, lang, strlen(text) AS b, sum(strlen(text)) OVER (PARTITION BY lang ORDER BY item_id ROWS UNBOUNDED PRECEDING) AS run FROM items WHERE text IS NOT NULL),
+s AS (SELECT *, floor((run - 1) / 24000) AS slot FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY lang, slot ORDER BY item_id) - 1 AS pos FROM s)
+SELECT item_id, lang, CAST(dense_rank() OVER (PARTITION BY lang ORDER BY slot, floor(pos / 8)) AS INTEGER) AS packet_no FROM t
+""")
+def packet_assign_all(spark: SparkSession, d: str) -> DataFrame:
+    """All items with text, those without lang as a group of their own; ``packet_assign`` has the rows that its SQL names."""
+    items = table(spark, d, "items").where(F.col("text").isNotNull())
+    return inference.packets(items, ["lang"], [F.col("item_id")], F.octet_length("text"), 8, 24_000).select("item_id", "lang", "packet_no")
+
+
 @query("""
 WITH m AS (SELECT l_suppkey, l_returnflag AS label, round(avg(l_discount), 9) AS p_mean, round(stddev_pop(l_discount), 9) AS p_sd FROM lineitem GROUP BY 1, 2)
 SELECT l_suppkey, label, p_mean, p_sd FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY p_mean DESC, CASE label WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END) r FROM m) WHERE r = 1

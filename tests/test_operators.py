@@ -142,6 +142,14 @@ def test_ranking_diff_of_all_suppliers(spark, tmp_path):
     assert rows(entry.queries()["ranking_diff_all"](spark, str(tmp_path))) == [(7, 1, 1, 1, 5.0, 1.0, "moved", 1, 2), (7, 1, 2, 1, 4.0, 2.0, "moved", 2, 1), (8, 2, 1, 1, 5.0, 1.0, "moved", 1, 2), (8, 2, 2, 1, 4.0, 2.0, "moved", 2, 1)]
 
 
+def test_packets_without_lang(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    spark.createDataFrame([(1, None, "a"), (2, "en", "b"), (3, None, None), *[(k, None, "x") for k in range(4, 12)]], "item_id long, lang string, text string").write.parquet(str(tmp_path / "items.parquet"))
+    found = {r["item_id"]: r["packet_no"] for r in entry.queries()["packet_assign_all"](spark, str(tmp_path)).collect()}
+    assert found == {1: 1, 2: 1, **{k: 1 for k in range(4, 11)}, 11: 2}
+
+
 def test_inclusion_matches_simulation(spark):
     import numpy as np
 
