@@ -44,7 +44,7 @@ def backfilled(df: DataFrame, before: list[Column], now: list[Column], k: int, k
     return both.withColumn("backfill", (F.col("rank_now") <= k) & (F.col("rank_before") > k))
 
 
-def inclusion_probability(df: DataFrame, key: str, p: str, sd: str, k: int, draws: int = 500, seed: int = 11) -> DataFrame:
+def inclusion_probability(df: DataFrame, key: str, p: str, sd: str, k: int, draws: int = 2_000, seed: int = 11) -> DataFrame:
     """(key, inclusion): share of draws in which a row is among the first ``k`` when its value is read with normal noise, cut to [0, 1].
 
     Noise comes from a counter-based hash of (seed, key, draw), so a repeated task draws the same. Each draw is a group of its own.

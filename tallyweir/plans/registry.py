@@ -583,7 +583,7 @@ def backfill_flag(spark: SparkSession, d: str) -> DataFrame:
 def inclusion_probability(spark: SparkSession, d: str) -> DataFrame:
     """Seeded draws; tested against a brute-force simulation."""
     shares = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_discount").alias("p"), F.stddev_pop("l_discount").alias("sd"))
-    return ranking.inclusion_probability(shares, "l_suppkey", "p", "sd", 10, draws=100)
+    return ranking.inclusion_probability(shares, "l_suppkey", "p", "sd", 10, draws=2_000)
 
 
 @query("""

@@ -150,6 +150,15 @@ def test_packets_without_lang(spark, tmp_path):
     assert found == {1: 1, 2: 1, **{k: 1 for k in range(4, 11)}, 11: 2}
 
 
+def test_inclusion_query_has_all_draws(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    lines = [(k, 0.01 * ((k + j) % 10)) for k in range(30) for j in range(3)]
+    spark.createDataFrame(lines, "l_suppkey long, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    shares = [r["inclusion"] * 2_000 for r in entry.queries()["inclusion_probability"](spark, str(tmp_path)).collect()]
+    assert shares == pytest.approx([round(x) for x in shares]) and any(round(x) % 20 for x in shares)
+
+
 def test_inclusion_matches_simulation(spark):
     import numpy as np
 
