@@ -3,13 +3,15 @@
 1. A stamp is tokenised into its character-class mask: digits become 9, runs of letters become one class letter.
 2. Each mask is mapped to a parser once, through a table generated from the format templates below. A mask that no
    template makes has no parser, so the table's size is that of the templates, never that of the data.
-3. A parser says which digit groups hold which field; all fields are read with built-in column functions.
+3. A parser says at which places of the masked stamp each field stands; all fields are read with built-in column functions
+   that Spark compiles (no function over arrays, which it would interpret row by row).
 4. Local times become instants through zone transition tables, one row per zone and local year, made from the IANA
    release named in ``zone_table_version()`` for the zones that occur.
 """
 
 from __future__ import annotations
 
+import calendar
 import importlib.metadata
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
@@ -18,11 +20,11 @@ from zoneinfo import ZoneInfo
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyweir.session import ship_package
 
-YEARS = range(1970, 2100)
+YEARS = range(1830, 2100)  # of the zone table; see ``table_year`` for others
+SLOTS = 8  # offsets of a zone in one year, more than any zone has ever had
 
 # Format templates. Y M D h m s are numbers (M, D, h also with one digit), f a fraction of 1 to 9 digits,
 # b a month name, w a weekday name, p a day half, z a zone abbreviation, Z the letter for UTC, o an offset.
@@ -41,8 +43,7 @@ DATE_TIME_TEMPLATES = (
 )
 DAY_TEMPLATES = ("Y-M-D", "Y/M/D", "Y.M.D", "Y. M. D.", "Y年M月D日", "Y년 M월 D일", "?/?/Y", "?-?-Y", "D.M.Y", "D b Y", "D-b-Y", "b D, Y", "w, D b Y")
 ZONE_SUFFIXES = ("", "Z", " Z", " z", " o", "o", " (z)", " zo")
-# Stamps of one digit run by its length: (field: start, length) or a power of ten of seconds.
-COMPACT_DAY, COMPACT_MINUTE, COMPACT_SECOND = 8, 12, 14
+# Numbers of epochs by their length: the power of ten by which they divide a second.
 EPOCH_DIGITS = {10: 0, 13: 3, 16: 6, 19: 9}
 # Names of months and of the halves of a day, lower case.
 MONTHS = {
@@ -82,25 +83,36 @@ def stamp_text(col: Column) -> Column:
     return F.trim(text)
 
 
-def mask_of(col: Column) -> Column:
-    """The character-class mask: 9 for each digit, a for a run of letters; an offset's or date's marks stay."""
-    return F.regexp_replace(F.regexp_replace(col, r"[0-9]", "9"), r"[A-Za-zÀ-ÿ]+\.?(?:[mM]\.)?|오전|오후|午前|午後|上午|下午", "a")
+def shape_of(col: Column) -> Column:
+    """A stamp with each run of letters as one class letter; digits and marks stay."""
+    return F.regexp_replace(col, r"[A-Za-zÀ-ÿ]+\.?(?:[mM]\.)?|오전|오후|午前|午後|上午|下午", "a")
 
 
-def _masks(template: str) -> list[tuple[str, list[str]]]:
-    """All masks of a template with the field that each digit group holds."""
-    found: list[tuple[str, list[str]]] = [("", [])]
-    widths = {"Y": ("9999",), "M": ("9", "99"), "D": ("9", "99"), "?": ("9", "99"), "h": ("9", "99"), "m": ("99",), "s": ("99",), "f": tuple("9" * n for n in range(1, 10))}
+def mask_of(shape: Column) -> Column:
+    """The character-class mask of a shape: 9 for each digit."""
+    return F.translate(shape, "012345678", "999999999")
+
+
+WIDTHS = {"Y": (4,), "M": (1, 2), "D": (1, 2), "?": (1, 2), "h": (1, 2), "m": (2,), "s": (2,), "f": tuple(range(1, 10))}
+OFFSETS = (("+99:99", (1, 4)), ("-99:99", (1, 4)), ("+9999", (1, 3)), ("-9999", (1, 3)), ("+99", (1, None)), ("-99", (1, None)))
+# Stamps of digit runs only: fields by their first letters in the order of the digits.
+RUNS = {"YYYYMMDD": "date", "YYYYMMDDhhmm": "local", "YYYYMMDDhhmmss": "local"}
+FIELDS = ("Y", "M", "D", "h", "m", "s", "f", "o", "p")  # o and p: hours and minutes of an offset
+
+
+def _masks(template: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """All masks of a template with the place (from 1) and width of each field."""
+    found: list[tuple[str, list]] = [("", [])]
     skip = 0
     for i, c in enumerate(template):
         if skip:
             skip -= 1
         elif template.startswith("Uhr", i):
             found, skip = [(m + "a", g) for m, g in found], 2
-        elif c in widths:
-            found = [(m + w, g + [c]) for m, g in found for w in widths[c]]
+        elif c in WIDTHS:
+            found = [(m + "9" * w, [*g, (c, len(m) + 1, w)]) for m, g in found for w in WIDTHS[c]]
         elif c == "o":
-            found = [(m + t, g + f) for m, g in found for t, f in (("+99:99", ["oh", "om"]), ("-99:99", ["oh", "om"]), ("+9999", ["ohm"]), ("-9999", ["ohm"]), ("+99", ["oh"]), ("-99", ["oh"]))]
+            found = [(m + t, [*g, ("o", len(m) + 1 + hours, 2), *([("p", len(m) + 1 + minutes, 2)] if minutes else [])]) for m, g in found for t, (hours, minutes) in OFFSETS]
         elif c in "bwpzZT":
             found = [(m + "a", g) for m, g in found]
         else:
@@ -109,37 +121,45 @@ def _masks(template: str) -> list[tuple[str, list[str]]]:
 
 
 def parser_table() -> list[tuple]:
-    """(mask, kind, field positions in the digit groups from 1, whether two short numbers need the country's order)."""
+    """(mask, kind, place and width of each of ``FIELDS``, whether two short numbers need the country's order, what the words tell)."""
     rows: dict[str, tuple] = {}
 
-    def add(mask: str, groups: list[str], kind: str, has_zone: bool, has_offset: bool) -> None:
-        place = {f: i + 1 for i, f in enumerate(groups) if f != "?"}
-        unsure = [i + 1 for i, f in enumerate(groups) if f == "?"]
+    def add(mask: str, fields: list[tuple[str, int, int]], kind: str, template: str = "") -> None:
+        unsure = [(at, w) for f, at, w in fields if f == "?"]
+        place = {f: (at, w) for f, at, w in fields if f != "?"}
         if unsure:
             place |= {"D": unsure[0], "M": unsure[1]}
-        rows.setdefault(mask, (mask, kind, *(place.get(f) for f in ("Y", "M", "D", "h", "m", "s", "oh", "om", "ohm")), bool(unsure), has_zone, has_offset))
-
-    for n in (COMPACT_DAY, COMPACT_MINUTE, COMPACT_SECOND):
-        add("9" * n, [], "day" if n == COMPACT_DAY else "compact", False, False)
-        if n != COMPACT_DAY:
-            add("9" * n + "a", [], "compact", True, False)
-    for n in (4, 6):
-        for suffix, has_zone, groups in (("", False, []), ("a", True, []), (" a", True, []), ("+99:99", False, ["", "", "oh", "om"]), ("-99:99", False, ["", "", "oh", "om"]), ("+9999", False, ["", "", "ohm"]), ("-9999", False, ["", "", "ohm"])):
-            add("9" * 8 + "a" + "9" * n + suffix, groups, "split", has_zone, bool(groups))
-            add("9" * 8 + " " + "9" * n + suffix, groups, "split", has_zone, bool(groups))
+        flags = (bool(unsure), "b" in template, "p" in template or "Uhr" in template, bool({*template} & {*"zZ"}), "o" in place)
+        known = rows.setdefault(mask, (mask, kind, *[x for f in FIELDS for x in place.get(f, (None, None))], *flags))
+        # two templates of one mask differ in what their words are: every reading stays open
+        rows[mask] = (*known[: -len(flags)], *(a or b for a, b in zip(known[-len(flags) :], flags)))
+
+    def run(digits: str, suffixes: tuple[str, ...], kind: str, gap: str = "") -> None:
+        text = digits[:8] + gap + digits[8:]
+        fields = [(f, text.index(f) + 1, text.count(f)) for f in FIELDS if f in text]
+        for suffix in suffixes:
+            for mask, more in _masks(suffix):
+                at = len(text)
+                add("".join("9" if c in digits else c for c in text) + mask, fields + [(f, at + k, w) for f, k, w in more], kind, suffix)
+
+    for digits, kind in RUNS.items():
+        run(digits, ("",) if kind == "date" else ("", "Z"), kind)
+        if kind == "local":
+            for gap in ("a", " "):
+                run(digits, ("", "Z", " z", "o"), kind, gap)
     for n in EPOCH_DIGITS:
-        add("9" * n, [], "epoch", False, False)
+        add("9" * n, [], "epoch")
     for t in DATE_TIME_TEMPLATES:
         for suffix in ZONE_SUFFIXES:
-            for mask, groups in _masks(t + suffix):
-                add(mask, groups, "fields", bool({*suffix} & {*"zZ"}), "o" in suffix)
+            for mask, fields in _masks(t + suffix):
+                add(mask, fields, "local", t + suffix)
     for t in DAY_TEMPLATES:
-        for mask, groups in _masks(t):
-            add(mask, groups, "date", False, False)
+        for mask, fields in _masks(t):
+            add(mask, fields, "date", t)
     return list(rows.values())
 
 
-PARSER_SCHEMA = "mask string, kind string, year int, month int, day int, hour int, minute int, second int, oh int, om int, ohm int, unsure boolean, has_zone boolean, has_offset boolean"
+PARSER_SCHEMA = "mask string, kind string, " + ", ".join(f"{f}_at int, {f}_width int" for f in ("year", "month", "day", "hour", "minute", "second", "fraction", "oh", "om")) + ", unsure boolean, month_word boolean, half_word boolean, has_zone boolean, has_offset boolean"
 
 
 def _transitions(zone: str) -> list[tuple[datetime, int]]:
@@ -164,6 +184,7 @@ def _transitions(zone: str) -> list[tuple[datetime, int]]:
 
 
 def _zone_years(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    epoch = datetime(1970, 1, 1)
     for pdf in batches:
         rows: list[tuple] = []
         for zone in pdf["zone"]:
@@ -171,7 +192,6 @@ def _zone_years(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 moves = _transitions(zone)
             except Exception:  # noqa: BLE001 - no such zone: its stamps stay without an instant
                 continue
-            epoch = datetime(1970, 1, 1)
             # local second from which an offset holds: in a gap the former offset reads on, in an overlap the first pass holds
             starts = [(int((t - epoch).total_seconds()) + max(before, offset), offset) for (t, offset), before in zip(moves, [moves[0][1], *(o for _, o in moves)])]
             k = 0
@@ -180,26 +200,57 @@ def _zone_years(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 after = int((datetime(year + 1, 1, 1) - epoch).total_seconds())
                 while k + 1 < len(starts) and starts[k + 1][0] <= first:
                     k += 1
-                inside = [{"start": first, "offset": starts[k][1]}, *({"start": s, "offset": o} for s, o in starts if first < s < after)]
-                rows.append((zone, year, inside))
-        yield pd.DataFrame(rows, columns=["zone", "year", "steps"])
+                inside = [(0, starts[k][1]), *((s - first, o) for s, o in starts if first < s < after)]
+                if len(inside) > SLOTS:
+                    raise ValueError(f"{zone} moves its clocks {len(inside) - 1} times in {year}")
+                inside += [(None, None)] * (SLOTS - len(inside))
+                rows.append((zone, year, *(x for step in inside for x in step)))
+        yield pd.DataFrame(rows, columns=["zone", "year", *(f"{c}_{k}" for k in range(SLOTS) for c in ("start", "offset"))]).astype({f"{c}_{k}": "Int32" for k in range(SLOTS) for c in ("start", "offset")})
 
 
 def zone_table(spark: SparkSession, zones: DataFrame) -> DataFrame:
-    """(zone, year, steps) for the IANA zones in column ``zone``; steps hold the local second from which an offset holds."""
+    """(zone, year, start_0, offset_0, ...) for the IANA zones in column ``zone``: the local second of the year from which each offset holds."""
     ship_package(spark)
-    schema = "zone string, year int, steps array<struct<start bigint, offset int>>"
+    schema = "zone string, year int, " + ", ".join(f"start_{k} int, offset_{k} int" for k in range(SLOTS))
     return zones.select("zone").where(F.col("zone").rlike(r"^[A-Z][A-Za-z]+(/[A-Za-z0-9_+\-]+)*$")).distinct().mapInPandas(_zone_years, schema)
 
 
-def _offset_minutes(sign: Column, hours: Column, minutes: Column) -> Column:
-    return sign * (hours * 60 + F.coalesce(minutes, F.lit(0)))
+def table_year(year: Column) -> Column:
+    """The year of the zone table that a year is read by: before the table its first year (local mean time), after it the
+    year of its last 28 that begins on the same weekday and has as many days, as rules of zones go by weekdays."""
+    like = {datetime(y, 1, 1).isoweekday() % 7 * 2 + calendar.isleap(y): y for y in range(YEARS[-1] - 27, YEARS[-1] + 1)}
+    leap = ((year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))).cast("int")
+    later = _word_table(like)[(F.dayofweek(F.make_date(year, F.lit(1), F.lit(1))) - 1) * 2 + leap]
+    return F.when(year < YEARS[0], YEARS[0]).when(year > YEARS[-1], later).otherwise(year)
 
 
-def _word_table(pairs: dict[str, int]) -> Column:
+def _word_table(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+def _zone_offset(second: Column) -> Column:
+    """The offset in seconds that holds at a local second of the year, from the slots of a zone's row."""
+    held = F.col("offset_0")
+    for k in range(1, SLOTS):
+        held = F.when(second >= F.col(f"start_{k}"), F.col(f"offset_{k}")).otherwise(held)
+    return held
+
+
+def _midnight_offset(micros: Column, year_start: Column) -> Column:
+    """The offset that makes an instant exactly a midnight of the zone; null if none that holds then does."""
+    found = F.lit(None).cast("int")
+    for k in range(SLOTS):
+        local = F.col(f"offset_{k}").cast("long") * 1_000_000 + micros
+        holds = F.pmod(local, F.lit(86_400_000_000)) == 0
+        second = local / 1_000_000 - year_start
+        if k:
+            holds &= second >= F.col(f"start_{k}")
+        if k + 1 < SLOTS:
+            holds &= F.coalesce(second < F.col(f"start_{k + 1}"), F.lit(True))
+        found = F.when(holds, F.col(f"offset_{k}")).otherwise(found)
+    return found
+
+
 def normalise_stamps(rows: DataFrame, sources: DataFrame, stamp: str = "stamp_raw", note: str | None = "zone_note", field: str | None = "stamp_field", day_numbers: tuple[str, ...] = ("announcementTime",)) -> DataFrame:
     """``rows`` with ``instant_us`` (UTC microseconds since 1970, null unless the stamp is an instant) and ``plain_day``.
 
@@ -209,129 +260,109 @@ def normalise_stamps(rows: DataFrame, sources: DataFrame, stamp: str = "stamp_ra
     Stamps of day precision give ``plain_day`` only; so do epoch numbers of the fields ``day_numbers`` that are exactly
     midnight of the source's zone. Null, empty, placeholder and unreadable stamps, impossible dates and unknown sources
     without a zone give null in both. A local time that occurs twice is read as the first one; one that is skipped is
-    read with the offset before the gap. Rows are never dropped or repeated; columns named like the two results are replaced.
+    read with the offset before the gap. Fractions of a second are kept to the microsecond. Years from 1 to 9999 are read,
+    see ``table_year``. Rows are never dropped or repeated; columns named like the two results are replaced.
     """
     spark = rows.sparkSession
     kept = [c for c in rows.columns if c not in ("instant_us", "plain_day")]
     zones = sources.where(F.col("source_id").isNotNull()).groupBy("source_id").agg(F.min("civil_zone").alias("__civil"))
+    note_text = F.nullif(F.trim(F.col(note)), F.lit("")) if note else F.lit(None).cast("string")
     work = rows.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"),
         F.col("source_id").alias("source_id"),
         stamp_text(F.col(stamp)).alias("__s"),
-        (F.trim(F.col(note)) if note else F.lit(None).cast("string")).alias("__note"),
-        (F.col(field).isin(*day_numbers) if field else F.lit(False)).alias("__day_number"),
+        note_text.alias("__note"),
+        (F.coalesce(F.col(field).isin(*day_numbers), F.lit(False)) if field else F.lit(False)).alias("__day_number"),
     )
-    work = work.join(zones, "source_id", "left").drop("source_id")
+    work = work.join(zones, "source_id", "left").drop("source_id").withColumn("__shape", shape_of(F.col("__s")))
     parsers = spark.createDataFrame(parser_table(), PARSER_SCHEMA)
-    parsers = parsers.select(F.col("mask").alias("__mask"), F.struct("*").alias("__p"))
     # the table is made from the templates above, a few thousand short rows whatever the data
-    work = work.withColumn("__mask", mask_of(F.col("__s"))).join(F.broadcast(parsers), "__mask", "left").drop("__mask")
-
-    s, p = F.col("__s"), F.col("__p")
-    digits = F.regexp_extract_all(s, F.lit(r"([0-9]+)"), F.lit(1))
-    work = work.withColumn("__d", F.when(p.isNotNull(), digits)).withColumn("__low", F.lower(s))
-    d, low = F.col("__d"), F.col("__low")
-    compact = p["kind"].isin("compact", "day")
-    split = p["kind"] == "split"
-
-    def group(name: str) -> Column:
-        return F.try_element_at(d, p[name]).cast("int")
-
-    def cut(start: int, length: int) -> Column:
-        return F.nullif(F.substring(s, start, length), F.lit("")).cast("int")
-
-    month_word = F.regexp_extract(low, r"(?:^|[^a-zà-ÿ])(jan|feb|mar|mär|mrz|apr|may|mai|jun|jul|aug|sep|oct|okt|nov|dec|dez)", 1)
-    clock = F.when(split, F.element_at(d, 2))
-    first, second = group("day"), group("month")
-    american = F.coalesce(F.col("__civil"), F.lit("")).startswith("America/")
-    month_first = p["unsure"] & ((american & (first <= 12)) | (second > 12))
-    fields = {
-        "__year": F.when(compact | split, cut(1, 4)).otherwise(group("year")),
-        "__month": F.when(compact | split, cut(5, 2)).when(p["month"].isNull(), _word_table(MONTHS)[month_word]).when(month_first, first).otherwise(second),
-        "__dom": F.when(compact | split, cut(7, 2)).when(month_first, second).otherwise(first),
-        "__clock_h": F.when(p["kind"] == "compact", cut(9, 2)).when(split, F.substring(clock, 1, 2).cast("int")).otherwise(group("hour")),
-        "__clock_m": F.when(p["kind"] == "compact", cut(11, 2)).when(split, F.substring(clock, 3, 2).cast("int")).otherwise(group("minute")),
-        "__clock_s": F.when((p["kind"] == "compact") & (F.length(d[0]) == COMPACT_SECOND), cut(13, 2)).when(split & (F.length(clock) == 6), F.substring(clock, 5, 2).cast("int")).otherwise(group("second")),
-    }
-    parsed = p["kind"].isin("compact", "day", "split", "fields", "date")
-    work = work.withColumns({k: F.when(parsed, v) for k, v in fields.items()})
-    afternoon, morning = (F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)) for words in (AFTERNOON, MORNING))
-    h = F.col("__clock_h")
-    hour = F.when(afternoon & (h < 12), h + 12).when(morning & (h == 12), 0).otherwise(h)
-    day = F.when(F.col("__year").between(1, 9999) & F.col("__month").between(1, 12) & F.col("__dom").between(1, 31), F.try_to_date(F.format_string("%04d-%02d-%02d", "__year", "__month", "__dom"), "yyyy-MM-dd"))
-    work = work.withColumns({"__hour": hour, "__day": day})
-    clock_ok = F.col("__hour").between(0, 23) & F.col("__clock_m").between(0, 59) & F.coalesce(F.col("__clock_s"), F.lit(0)).between(0, 60)
-    local = F.when(clock_ok & ~p["kind"].isin("day", "date"), F.unix_date("__day").cast("long") * 86400 + F.col("__hour") * 3600 + F.col("__clock_m") * 60 + F.coalesce("__clock_s", F.lit(0)))
-
-    # the zone: the stamp's own, else the note, else the source's
-    own_sign = F.when(F.regexp_extract(s, r"([+\-])[0-9]{2}:?[0-9]{0,2}\)?$", 1) == "-", -1).otherwise(1)
-    own_hours = F.coalesce(group("oh"), F.floor(group("ohm") / 100))
-    own_minutes = F.coalesce(group("om"), group("ohm") % 100)
-    # the last word may be a zone, a day half or the German for o'clock under one mask
+    work = work.withColumn("mask", mask_of(F.col("__shape"))).join(F.broadcast(parsers), "mask", "left").drop("mask")
+
+    def number(name: str) -> Column:
+        return F.col("__shape").substr(F.col(f"{name}_at"), F.col(f"{name}_width")).cast("int")
+
+    low = F.lower(F.col("__s"))
+    month_name = F.regexp_extract(low, "(?:^|[^a-zà-ÿ])(" + "|".join(MONTHS) + ")", 1)
     last_word = F.regexp_extract(low, r"([a-z]+)\)?$", 1)
-    is_zone_word = p["has_zone"] & ~last_word.isin("am", "pm", "m", "uhr", "")
-    own_word = F.when(is_zone_word, last_word)
-    note_text = F.col("__note")
-    note_low = F.lower(note_text)
+    half = [F.lit(False)] * 2
+    for k, words in enumerate((AFTERNOON, MORNING)):
+        for w in words:
+            half[k] = half[k] | F.contains(low, F.lit(w))
+    # the last word may be a zone, a day half or the German for o'clock under one mask
+    fraction = F.rpad(F.col("__shape").substr(F.col("fraction_at"), F.least("fraction_width", F.lit(6))), 6, "0").cast("int")
+    sign = F.when(F.col("__shape").substr(F.col("oh_at") - 1, F.lit(1)) == "-", -1).otherwise(1)
+    work = work.select(
+        "__row", "__civil", "__note", "__day_number", "kind", "unsure",
+        *[number(c).alias(c) for c in ("year", "hour", "minute", "second")],
+        F.when(F.col("month_word"), _word_table(MONTHS)[month_name]).otherwise(number("month")).alias("month"), number("day").alias("day"),
+        F.when(F.col("half_word"), F.when(half[0], 12).when(half[1], 0)).alias("half"), fraction.alias("fraction"),
+        F.when(F.col("has_offset"), sign * (number("oh") * 60 + F.coalesce(number("om"), F.lit(0)))).alias("own"),
+        F.when(F.col("has_zone"), F.when(~last_word.isin("am", "pm", "m", "uhr", ""), last_word)).alias("word"),
+        F.when(F.col("kind") == "epoch", F.col("__s").cast("decimal(19,0)")).alias("number"), F.length("__s").alias("n_digits"),
+    )
+
+    american = F.coalesce(F.col("__civil").startswith("America/"), F.lit(False))
+    swapped = F.col("unsure") & ((american & (F.col("day") <= 12)) | (F.col("month") > 12))
+    micros = F.lit(None).cast("bigint")
+    for n, power in EPOCH_DIGITS.items():
+        scaled = F.col("number") * 10 ** (6 - power) if power <= 6 else F.floor(F.col("number") / 10 ** (power - 6))
+        micros = F.when(F.col("n_digits") == n, scaled.cast("bigint")).otherwise(micros)
+    hour = F.when((F.col("half") == 12) & (F.col("hour") < 12), F.col("hour") + 12).when((F.col("half") == 0) & (F.col("hour") == 12), 0).otherwise(F.col("hour"))
+    work = work.select(
+        "__row", "__civil", "__note", "__day_number", "kind", "year", "minute", "second", "fraction", "own", "word",
+        F.when(swapped, F.col("day")).otherwise(F.col("month")).alias("month"), F.when(swapped, F.col("month")).otherwise(F.col("day")).alias("day"),
+        hour.alias("hour"), F.when(F.col("kind") == "epoch", micros).alias("micros"),
+    )
+
+    month_start = F.when((F.col("year") >= 1) & F.col("month").between(1, 12), F.make_date("year", "month", F.lit(1)))
+    work = work.withColumn("month_start", month_start)
+    the_day = F.when((F.col("day") >= 1) & (F.col("day") <= F.dayofmonth(F.last_day("month_start"))), F.date_add("month_start", F.col("day") - 1))
+    clock_ok = F.col("hour").between(0, 23) & F.col("minute").between(0, 59) & F.coalesce(F.col("second") <= 60, F.lit(True))
+    clock = F.when(clock_ok & (F.col("kind") == "local"), F.col("hour") * 3600 + F.col("minute") * 60 + F.coalesce("second", F.lit(0)))
+
+    note_low = F.lower(F.col("__note"))
     note_offset = r"^(?:utc|gmt)?\s*([+\-])([0-9]{1,2}):?([0-9]{2})?$"
-    note_is_offset = note_low.rlike(note_offset)
-    note_minutes = _offset_minutes(
-        F.when(F.regexp_extract(note_low, note_offset, 1) == "-", -1).otherwise(1),
-        F.regexp_extract(note_low, note_offset, 2).cast("int"),
-        F.nullif(F.regexp_extract(note_low, note_offset, 3), F.lit("")).cast("int"),
+    note_minutes = F.when(F.regexp_extract(note_low, note_offset, 1) == "-", -1).otherwise(1) * (
+        F.regexp_extract(note_low, note_offset, 2).cast("int") * 60 + F.coalesce(F.nullif(F.regexp_extract(note_low, note_offset, 3), F.lit("")).cast("int"), F.lit(0))
     )
-    by_country = F.create_map(*[F.lit(x) for (word, zone), v in ABBREVIATIONS_OF.items() for x in (f"{word} {zone}", v)])
+    by_country = _word_table({f"{word} {zone}": v for (word, zone), v in ABBREVIATIONS_OF.items()})
     common = _word_table(ABBREVIATIONS)
 
     def meaning(word: Column) -> Column:
         return F.coalesce(by_country[F.concat_ws(" ", word, F.col("__civil"))], common[word])
 
-    offset = (
-        F.when(p["has_offset"], _offset_minutes(own_sign, own_hours, own_minutes))
-        .when(is_zone_word, meaning(own_word))
-        .when(note_is_offset, note_minutes)
-        .when(note_low.rlike("^[a-z]+$"), meaning(note_low))
-    )
-    number = F.when(p["kind"] == "epoch", F.try_to_number(s, F.lit("9" * 19)))
-    scale = {n: 6 - e for n, e in EPOCH_DIGITS.items()}
-    micros = F.coalesce(*[F.when(F.length(s) == n, (number * 10**e if e >= 0 else F.floor(number / 10**-e)).cast("long")) for n, e in scale.items()])
-    unknown_own = is_zone_word & offset.isNull()
+    noted = F.when(note_low.rlike(note_offset), note_minutes).when(note_low.rlike("^[a-z]+$"), meaning(note_low))
+    # the offset: the stamp's own, else the note's; a word of the stamp that means nothing leaves it open
+    offset = F.when(F.col("own").isNotNull(), F.col("own")).when(F.col("word").isNotNull(), meaning(F.col("word"))).when(F.col("__note").isNotNull(), noted)
+    work = work.select("__row", "__civil", "__note", "__day_number", "kind", "micros", "fraction", "word", the_day.alias("the_day"), clock.alias("clock"), offset.alias("offset"))
+    # the named zone: of a local time without offset, or the source's for a number that may be a midnight
+    epoch_day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("micros") / 86_400_000_000).cast("int"))
+    number_day = F.when((F.col("kind") == "epoch") & F.col("__day_number"), epoch_day)
+    named = F.when(F.col("__note").contains("/"), F.col("__note")).otherwise(F.col("__civil"))
     work = work.select(
-        "__row",
-        "__day_number",
-        "__day",
-        F.col("__p")["kind"].alias("__kind"),
-        local.alias("__local"),
-        offset.alias("__offset"),
-        micros.alias("__micros"),
-        # the named zone: of a local time without offset, or the source's for a number that may be a midnight
-        F.when(p["kind"] == "epoch", F.when(F.col("__day_number"), F.col("__civil")))
-        .when(unknown_own | offset.isNotNull() | local.isNull(), F.lit(None))
-        .when(note_text.contains("/"), note_text)
-        .otherwise(F.col("__civil"))
-        .alias("zone"),
-    )
-    named = zones.select(F.col("__civil").alias("zone"))
+        "__row", "kind", "micros", "fraction", "the_day", "clock", "offset",
+        F.coalesce(number_day, F.when(F.col("clock").isNotNull(), F.col("the_day"))).alias("anchor"),
+        F.when(number_day.isNotNull(), F.col("__civil")).when(F.col("offset").isNull() & F.col("word").isNull() & F.col("clock").isNotNull(), named).alias("zone"),
+    )
+
+    zone_names = zones.select(F.col("__civil").alias("zone"))
     if note:
-        named = named.unionByName(rows.select(F.trim(F.col(note)).alias("zone")).where(F.col("zone").contains("/")).distinct())
+        zone_names = zone_names.unionByName(rows.select(note_text.alias("zone")).where(F.col("zone").contains("/")).distinct())
     # at most the IANA names, some 600, times the years of the table
-    steps = F.broadcast(zone_table(spark, named))
-    moment = F.coalesce(F.col("__local"), F.floor(F.col("__micros") / 1_000_000))
-    work = work.withColumn("year", F.year(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(moment / 86400).cast("int"))))
-    work = work.join(steps, ["zone", "year"], "left")
-    held = F.filter("steps", lambda x: x["start"] <= F.col("__local"))
-    zone_offset = F.element_at(held, -1)["offset"]
-    # a midnight: some offset of that year makes the number a whole local day
-    midnight = F.exists("steps", lambda x: F.pmod(F.col("__micros") + x["offset"].cast("long") * 1_000_000, F.lit(86_400_000_000)) == 0)
-    is_midnight = F.coalesce(F.col("__day_number") & (F.col("__kind") == "epoch") & midnight, F.lit(False))
-    shift = F.coalesce(F.col("__offset") * 60, zone_offset)
-    instant = F.when(F.col("__kind") == "epoch", F.when(~is_midnight, F.col("__micros"))).otherwise((F.col("__local") - shift) * 1_000_000)
-    midnight_offset = F.element_at(F.filter("steps", lambda x: F.pmod(F.col("__micros") + x["offset"].cast("long") * 1_000_000, F.lit(86_400_000_000)) == 0), 1)["offset"]
-    midnight_day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor((F.col("__micros") / 1_000_000 + midnight_offset) / 86400).cast("int"))
+    steps = F.broadcast(zone_table(spark, zone_names).withColumnRenamed("year", "__year"))
+    work = work.withColumn("__year", table_year(F.year("anchor"))).join(steps, ["zone", "__year"], "left")
+    year_second = (F.dayofyear("the_day") - 1) * 86400 + F.col("clock")
+    year_start = F.unix_date("anchor").cast("long") * 86400 - (F.dayofyear("anchor") - 1) * 86400
+    work = work.withColumn("shift", F.coalesce(F.col("offset") * 60, F.when(F.col("clock").isNotNull(), _zone_offset(year_second))))
+    work = work.withColumn("midnight", F.when((F.col("kind") == "epoch") & F.col("zone").isNotNull(), _midnight_offset(F.col("micros"), year_start)))
+    local = F.unix_date("the_day").cast("long") * 86400 + F.col("clock")
+    instant = F.when(F.col("kind") == "epoch", F.when(F.col("midnight").isNull(), F.col("micros"))).otherwise((local - F.col("shift")) * 1_000_000 + F.coalesce("fraction", F.lit(0)))
+    midnight_day = F.date_add(F.lit("1970-01-01").cast("date"), ((F.col("micros") + F.col("midnight").cast("long") * 1_000_000) / 86_400_000_000).cast("int"))
     return work.select(
         *[F.col("__row")[c].alias(c) for c in kept],
-        instant.cast("long").alias("instant_us"),
-        F.when(is_midnight, midnight_day).when(F.col("__kind").isin("day", "date"), F.col("__day")).alias("plain_day"),
+        instant.alias("instant_us"),
+        F.when(F.col("midnight").isNotNull(), midnight_day).when(F.col("kind") == "date", F.col("the_day")).alias("plain_day"),
     )
 
 
