@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweir.session import ship_package
+from tallyweir.session import keep_methods_compiled, ship_package
 
 YEARS = range(1830, 2100)  # of the zone table; see ``table_year`` for others
 SLOTS = 8  # offsets of a zone in one year, more than any zone has ever had
@@ -264,6 +264,7 @@ def normalise_stamps(rows: DataFrame, sources: DataFrame, stamp: str = "stamp_ra
     see ``table_year``. Rows are never dropped or repeated; columns named like the two results are replaced.
     """
     spark = rows.sparkSession
+    keep_methods_compiled(spark)
     kept = [c for c in rows.columns if c not in ("instant_us", "plain_day")]
     zones = sources.where(F.col("source_id").isNotNull()).groupBy("source_id").agg(F.min("civil_zone").alias("__civil"))
     note_text = F.nullif(F.trim(F.col(note)), F.lit("")) if note else F.lit(None).cast("string")

@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+COMPILED_BYTES = 8_000  # HotSpot leaves methods of more bytecode to its interpreter
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "tallyweir", **conf: str) -> SparkSession:
@@ -24,6 +25,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", str(COMPILED_BYTES))
         .config("spark.ui.enabled", "false")
     )
     for key, value in conf.items():
@@ -31,6 +33,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return builder.getOrCreate()
 
 
+def keep_methods_compiled(spark: SparkSession) -> None:
+    """Have Spark generate code that the JVM compiles, in a session that others have built.
+
+    Wide expressions fused into one method of over ``COMPILED_BYTES`` are interpreted, about four times as slow; with this limit Spark
+    falls back to projections split into small methods. A limit that the session's owner has chosen is kept.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(COMPILED_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

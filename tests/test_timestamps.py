@@ -23,6 +23,8 @@ CASES = [
     ("jp", "２０２５/１０/２７ ０３:０９", None, "2025-10-26 18:09:00"), ("jp", "2024年10月1日 6時05分", None, "2024-09-30 21:05:00"), ("kr", "2024. 3. 16. 오후 3:10", None, "2024-03-16 06:10:00"), ("kr", "2024. 10. 19. 오전 12:49", None, "2024-10-18 15:49:00"),
     ("au", "2024-03-06 14:24 AEDT", None, "2024-03-06 03:24:00"), ("utc", "Sun, 04 Jan 2026 05:38:41 +0000", None, "2026-01-04 05:38:41"), ("utc", "20240309T095357Z", None, "2024-03-09 09:53:57"), ("utc", "2024-03-19 12:45:16.803858+00:00", None, "2024-03-19 12:45:16"),
     ("utc", "1710091648", None, "2024-03-10 17:27:28"), ("utc", " 2024-03-09 16:16 ", None, "2024-03-09 16:16:00"), ("none", "2024-03-09 16:16Z", None, "2024-03-09 16:16:00"),
+    ("us", "1950-07-01 12:00", None, "1950-07-01 16:00:00"), ("uk", "1820-01-01 12:00", None, "1820-01-01 12:01:15"), ("us", "2101-07-04 12:00", None, "2101-07-04 16:00:00"), ("us", "2101-03-13 01:59", None, "2101-03-13 06:59:00"), ("us", "2101-03-13 03:00", None, "2101-03-13 07:00:00"),
+    ("de", "2399-12-31 23:00", None, "2399-12-31 22:00:00"), ("utc", "20240309T095357+0530", None, "2024-03-09 04:23:57"), ("us", "2024-03-09 14:00 Uhr", None, "2024-03-09 19:00:00"), ("us", "20240311005149", "UTC-05:30", "2024-03-11 06:21:49"),
 ]
 
 
@@ -40,6 +42,11 @@ def test_instants(spark):
         assert found[i]["plain_day"] is None
 
 
+def test_fractions_and_numbers(spark):
+    found = run(spark, [(1, "utc", "2024-03-19 12:45:16.803858+00:00", None, "p", None, None, None), (2, "utc", "2024-03-19T12:45:16.8Z", None, "p", None, None, None), (3, "utc", "1710852316803858123", None, "p", None, None, None), (4, "utc", "1710852316803", None, "p", None, None, None)])
+    assert [found[k]["instant_us"] - 1710852316000000 for k in (1, 2, 3, 4)] == [803858, 800000, 803858, 803000]
+
+
 def test_days_and_nothing(spark):
     day, none = ["20240315", "2024-04-01", "2024.06.27", "2024/06/27", "2024年6月7日"], [None, "", "-", "n/a", "0", "2024-13-40 10:00", "2024-02-30", "99:99", "25:61 tomorrow", "x" * 5000]
     found = run(spark, [(i, "uk", raw, None, "published", None, None, None) for i, raw in enumerate(day + none)])
@@ -53,6 +60,9 @@ def test_midnight_numbers_and_unknown_zones(spark):
     assert found[1]["instant_us"] is None and str(found[1]["plain_day"]) == "2024-05-16"
     assert found[2]["instant_us"] == 1715788800000000
     assert found[3]["instant_us"] is None and found[4]["instant_us"] is None and found[5]["instant_us"] == 1704099600000000
+    # the offset must hold then: midnight by the winter's offset is no midnight in summer; the new year begins in the old one's UTC
+    found = run(spark, [(1, "us", "1720155600000", None, "announcementTime", None, None, None), (2, "us", "1720152000000", None, "announcementTime", None, None, None), (3, "cn", "1735660800000", None, "announcementTime", None, None, None)])
+    assert found[1]["plain_day"] is None and str(found[2]["plain_day"]) == "2024-07-05" and str(found[3]["plain_day"]) == "2025-01-01"
 
 
 @pytest.mark.parametrize("zone,source", [("America/New_York", "us"), ("Europe/Berlin", "de"), ("Australia/Sydney", "au")])
