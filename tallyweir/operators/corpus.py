@@ -10,7 +10,15 @@ from tallyweir.functions.text import term_pattern
 
 def term_flags(text: Column, terms: list[str]) -> Column:
     """Array of the terms that a text holds as whole words. Terms are a given list; the text is scanned once per term, JVM-side."""
-    return F.array_compact(F.array(*[F.when(F.contains(F.lower(text), F.lit(t.lower().split()[0])) & text.rlike(term_pattern(t)), F.lit(t)) for t in terms]))
+    wide = text.rlike("[Ａ-Ｚａ-ｚ０-９]")
+
+    def hit(term: str) -> Column:
+        # a plain search for what every match holds goes before the pattern
+        first = term.split()[0].lower()
+        there = F.contains(F.lower(text), F.lit(first)) | wide if first.isascii() else F.contains(text, F.lit(first[0]))
+        return F.when(there & text.rlike(term_pattern(term)), F.lit(term))
+
+    return F.array_compact(F.array(*map(hit, terms)))
 
 
 def doc_freq(docs: DataFrame, text: str, terms: list[str]) -> DataFrame:

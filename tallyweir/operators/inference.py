@@ -7,9 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from tallyweir.operators.ranking import numbered
 from tallyweir.session import ship_package
 
+RUN = 8_192  # items of a group that one task packs
+
 
 def item_key(*parts: Column) -> Column:
     """A key of an item's content: the first 32 hex digits of the SHA-256 of its parts as JSON."""
@@ -22,16 +26,35 @@ def cached_answers(ledger: DataFrame, key: str, status: str, at: str, request: s
     return ledger.groupBy(key).agg(F.max_by(F.when(F.col(status) == ok, F.col(request)), F.when(F.col(status) == ok, order)).alias("answer"), F.max_by(status, order).alias("last_status"))
 
 
-def packets(items: DataFrame, group: list[str], order: list[Column], size: Column, most: int, capacity: int) -> DataFrame:
-    """Items with ``packet_no`` within their group: a packet holds at most ``most`` items; by running size it is also cut at ``capacity``.
+def packets(items: DataFrame, group: str, order: str, size: str, most: int, capacity: int, run: int = RUN) -> DataFrame:
+    """``items`` with ``packet_no`` from 1 within their group, filled in order: a packet is closed before an item that would be one
+    too many or take it above ``capacity``. An item above the capacity has a packet alone.
 
-    Packets follow the running size, so they need no state from row to row and a window suffices.
+    A group is filled in runs of ``run`` items, each by itself, so that no task holds an unbounded group; a run's last packet may stay
+    poorly filled. A null group is a group; items without size count as empty; rows of equal ``order`` are taken in any fixed order.
     """
-    window = Window.partitionBy(*group).orderBy(*order)
-    running = F.sum(size).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    slot = F.floor((running - 1) / capacity)
-    inner = Window.partitionBy(*group, "__slot").orderBy(*order)
-    return items.withColumn("__slot", slot).withColumn("__at", F.row_number().over(inner) - 1).withColumn("packet_no", F.dense_rank().over(Window.partitionBy(*group).orderBy("__slot", F.floor(F.col("__at") / most)))).drop("__slot", "__at")
+    ship_package(items.sparkSession)
+    placed = numbered(items.withColumn("__size", F.coalesce(F.col(size).cast("long"), F.lit(0))), [group], [F.col(order), F.col("__size")], "__at")
+    placed = placed.withColumn("__run", F.floor((F.col("__at") - 1) / run))
+    kept = StructType([*items.schema.fields, StructField("__run", LongType()), StructField("__no", LongType())])
+
+    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__at", kind="stable")
+        no, held, filled, out = 1, 0, 0, []
+        for s in pdf["__size"]:
+            if held and (held == most or filled + s > capacity):
+                no, held, filled = no + 1, 0, 0
+            held, filled = held + 1, filled + s
+            out.append(no)
+        return pdf.assign(__no=out)[[f.name for f in kept]]
+
+    filled = placed.groupBy(group, "__run").applyInPandas(fill, kept)
+    # one row a run: what came before it in its group
+    ends = filled.groupBy(group, "__run").agg(F.max("__no").alias("__last"))
+    before = F.coalesce(F.sum("__last").over(Window.partitionBy(group).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select(F.col(group).alias("__group"), F.col("__run").alias("__r"), before.alias("__before"))
+    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col("__run") == F.col("__r"))
+    return filled.join(ends, same).select(*items.columns, (F.col("__before") + F.col("__no")).cast("int").alias("packet_no"))
 
 
 def mean_reads(reads: DataFrame, key: str, label: str, p: str, order: dict[str, int]) -> DataFrame:

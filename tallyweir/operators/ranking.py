@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweir.session import checkpointed
+
 
 def ranked(df: DataFrame, order: list[Column], partition: list[str] | None = None, name: str = "rank") -> DataFrame:
     """Rows with their rank in a total order, within ``partition`` or over all rows.
@@ -20,6 +22,21 @@ def ranked(df: DataFrame, order: list[Column], partition: list[str] | None = Non
     return sorted_rows.withColumn("__rn", F.row_number().over(inner)).join(before.select("__part", "__before"), "__part").withColumn(name, F.col("__before") + F.col("__rn")).drop("__part", "__at", "__rn", "__before")
 
 
+def numbered(df: DataFrame, partition: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rows with their place from 1 within their group, by range partitions over (group, order) and the counts of the parts before, so
+    that a group of a third of all rows is numbered by many tasks."""
+    # the sample of the ranges and the rows must see one table: a stage that is run again could else cut elsewhere
+    parts = checkpointed(df.repartitionByRange(*partition, *order).withColumn("__part", F.spark_partition_id()))
+    inside = parts.withColumn("__rn", F.row_number().over(Window.partitionBy("__part", *partition).orderBy(*order)))
+    counts = parts.groupBy("__part", *partition).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*partition).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__g_{c}") for c in partition], before.alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for c in partition:
+        same &= F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    return inside.join(counts, same).select(*df.columns, (F.col("__before") + F.col("__rn")).alias(name))
+
+
 def top_per_group(df: DataFrame, partition: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group with their rank; partitions keep only their own leaders before the exchange."""
     return ranked(df, order, partition).where(F.col("rank") <= k)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweir.functions import text as tx
@@ -315,8 +315,8 @@ def script_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-SELECT doc_id, CASE WHEN han + kana + hangul + latin < 20 THEN NULL WHEN hangul >= 10 AND hangul * 10 >= (han + kana) * 3 AND hangul * 5 >= latin THEN 'ko' WHEN han + kana >= 10 AND (han + kana) * 5 >= latin THEN CASE WHEN kana * 10 >= han + kana THEN 'ja' ELSE 'zh' END WHEN latin >= 20 THEN 'en' END AS told
-FROM (SELECT doc_id, {_n("t", _HAN)} AS han, {_n("t", _KANA)} AS kana, {_n("t", _HANGUL)} AS hangul, {_n("t", _LATIN)} AS latin FROM (SELECT doc_id, coalesce(substring(text, 1, 20000), '') AS t FROM documents))
+WITH n AS (SELECT doc_id, {_n("t", _HAN)} AS h, {_n("t", _KANA)} AS k, {_n("t", _HANGUL)} AS g, {_n("t", _LATIN)} AS l FROM (SELECT doc_id, coalesce(substring(text, 1, 20000), '') AS t FROM documents))
+SELECT doc_id, CASE WHEN h + k + g + l < 20 THEN NULL WHEN g >= greatest(10, 0.3 * (h + k + g)) AND g * 5 >= l THEN 'ko' WHEN h + k >= 10 AND (h + k) * 5 >= l THEN if(k >= 0.1 * (h + k), 'ja', 'zh') WHEN l >= 20 THEN 'en' END AS told FROM n
 """)
 def detect_language(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.detect_language(F.col("text")).alias("told"))
@@ -332,14 +332,17 @@ def paragraph_split(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN length(f) <= 120 THEN f ELSE regexp_replace(CASE WHEN strpos(h, ' ') > 0 AND length(h) - strpos(reverse(h), ' ') > 72 THEN substring(h, 1, length(h) - strpos(reverse(h), ' ')) ELSE h END, '[ ,;:]+$', '') || '…' END AS short
-FROM (SELECT doc_id, f, substring(f, 1, 119) AS h FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t]+', ' ', 'g'), ' ') AS f FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x{ffff}]|[\\x{300}-\\x{36f}\\x{e00}-\\x{eff}\\x{900}-\\x{97f}]')))
+_STOPS = r"""list_filter(range(1, length(h) + 1), lambda i: h[i] IN ('。', '！', '？') OR (h[i] IN ('!', '?', '.') AND regexp_matches(h[i + 1], '\s') AND NOT (h[i] = '.' AND regexp_matches(h[1:i], '(?:^|[ \n　])(?:[0-9]{1,3}|[A-Za-z]|[ivxIVX]{1,4}|[가나다라마바사아자차카타파하])\.$'))))"""
+
+
+@query(rf"""
+WITH f AS (SELECT doc_id, lang, trim(regexp_replace(text, '[ \t]+', ' ', 'g'), ' ') AS f FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, substring(f, 1, 119) AS h FROM f), e AS (SELECT *, list_max({_STOPS}) AS stop, length(regexp_extract(h, '(?s)^(.*) ', 1)) AS blank FROM h),
+s AS (SELECT *, h[1:stop] || regexp_extract(h[stop + 1:], '^[」』）)]*') AS sentence, regexp_replace(CASE WHEN strpos(h, ' ') > 0 AND blank > 72 THEN h[1:blank] ELSE h END, '[ ,;:]+$', '') AS words FROM e)
+SELECT doc_id, CASE WHEN length(f) <= 120 THEN f WHEN lang IN ('zh', 'ja', 'ko') THEN CASE WHEN length(sentence) > 72 THEN sentence WHEN lang <> 'ko' THEN rtrim(h, ' ') ELSE words END || '…' ELSE words || '…' END AS short FROM s
 """)
 def truncate_words(spark: SparkSession, d: str) -> DataFrame:
-    """Cut at words; texts with combining marks are left to the function's own tests, since SQL reverses them otherwise."""
-    docs = table(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"[^\x{0}-\x{ffff}]|[\x{300}-\x{36f}\x{e00}-\x{eff}\x{900}-\x{97f}]"))
-    return docs.select("doc_id", tx.truncate_words(F.col("text"), 120).alias("short"))
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", tx.truncate_words(F.col("text"), 120, F.col("lang")).alias("short"))
 
 
 @query("SELECT item_id, substring(sha256(lower(trim(regexp_replace(text, '" + r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+" + "', ' ', 'g')))), 1, 16) AS sha FROM items WHERE text IS NOT NULL")
@@ -396,9 +399,9 @@ def noisy_terms(spark: SparkSession, d: str) -> DataFrame:
     return corpus.word_counts(docs, "text").where(F.col("df") >= 0.05 * n).select("word", "df")
 
 
-@query("""
-WITH b AS (SELECT security_id, list_distinct(list_transform(range(1, length(t)), lambda i: substring(t, i, 2))) AS g FROM (SELECT security_id, lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g')) AS t FROM securities)),
-u AS (SELECT security_id, list_distinct(list_transform(range(1, length(t)), lambda i: substring(t, i, 2))) AS g FROM (SELECT security_id, lower(regexp_replace(max(name), '[^A-Za-z0-9]', '', 'g')) AS t FROM universe_rows GROUP BY 1))
+@query(r"""
+WITH b AS (SELECT security_id, list_distinct(list_transform(range(1, greatest(length(t), if(length(t) = 1, 2, 1))), lambda i: substring(t, i, 2))) AS g FROM (SELECT security_id, lower(regexp_replace(name, '[^\p{L}\p{M}\p{N}]', '', 'g')) AS t FROM securities)),
+u AS (SELECT security_id, list_distinct(list_transform(range(1, greatest(length(t), if(length(t) = 1, 2, 1))), lambda i: substring(t, i, 2))) AS g FROM (SELECT security_id, lower(regexp_replace(max(name), '[^\p{L}\p{M}\p{N}]', '', 'g')) AS t FROM universe_rows GROUP BY 1))
 SELECT b.security_id, round(CASE WHEN len(list_distinct(list_concat(b.g, u.g))) = 0 THEN 0 ELSE len(list_intersect(b.g, u.g)) / len(list_distinct(list_concat(b.g, u.g))) END, 6) AS similarity FROM b JOIN u USING (security_id)
 """)
 def bigram_jaccard(spark: SparkSession, d: str) -> DataFrame:
@@ -407,12 +410,14 @@ def bigram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "security_id").select("security_id", F.round(tx.jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query(r"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS visible FROM documents WHERE text LIKE '%</%' AND text NOT LIKE '%&%'
-""")
+_VISIBLE = r"regexp_replace(regexp_replace(text, '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')"
+for _entity, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _VISIBLE = f"replace({_VISIBLE}, '{_entity}', '{_sign}')"
+
+
+@query(rf"SELECT doc_id, trim(regexp_replace({_VISIBLE}, '\s+', ' ', 'g')) AS visible FROM documents WHERE text IS NOT NULL")
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.col("text").contains("</") & ~F.col("text").contains("&"))
-    return docs.select("doc_id", tx.html_text(F.col("text")).alias("visible"))
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", tx.html_text(F.col("text")).alias("visible"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events")
@@ -420,9 +425,15 @@ def json_props(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query(r"SELECT doc_id, kind FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM documents WHERE regexp_matches(text, '{p}')" for k, p in files.SECRET_PATTERNS.items()) + ")")
+_PLANTED = "SELECT doc_id, concat_ws(' ', text, CASE WHEN doc_id % 50 = 0 THEN 'api_key=' || sha256(CAST(doc_id AS VARCHAR)) WHEN doc_id % 50 = 1 THEN 'write to office' || doc_id || '@mail.example' WHEN doc_id % 50 = 2 THEN 'Bearer ' || sha256(CAST(doc_id AS VARCHAR)) END) AS text FROM documents"
+
+
+@query(r"SELECT doc_id, kind FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind FROM ({_PLANTED}) WHERE regexp_matches(text, '{p}')" for k, p in files.SECRET_PATTERNS.items()) + ")")
 def secret_scan(spark: SparkSession, d: str) -> DataFrame:
-    return files.secret_hits(table(spark, d, "documents"), "doc_id", "text")
+    """All documents, with keys and addresses planted in three of fifty, as the tables hold none."""
+    kind, key = F.col("doc_id") % 50, F.sha2(F.col("doc_id").cast("string"), 256)
+    planted = F.when(kind == 0, F.concat(F.lit("api_key="), key)).when(kind == 1, F.concat(F.lit("write to office"), F.col("doc_id").cast("string"), F.lit("@mail.example"))).when(kind == 2, F.concat(F.lit("Bearer "), key))
+    return files.secret_hits(table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "text", planted).alias("text")), "doc_id", "text")
 
 
 # --- inference --------------------------------------------------------------------------------------------------------
@@ -453,24 +464,15 @@ def spend_by_day(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT item_id, lang, strlen(text) AS b, sum(strlen(text)) OVER (PARTITION BY lang ORDER BY item_id ROWS UNBOUNDED PRECEDING) AS run FROM items WHERE text IS NOT NULL AND lang IS NOT NULL),
-s AS (SELECT *, floor((run - 1) / 24000) AS slot FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY lang, slot ORDER BY item_id) - 1 AS pos FROM s)
-SELECT item_id, lang, CAST(dense_rank() OVER (PARTITION BY lang ORDER BY slot, floor(pos / 8)) AS INTEGER) AS packet_no FROM t
+WITH RECURSIVE r AS (SELECT item_id, coalesce(lang, '?') AS g, lang, coalesce(strlen(text), 0) AS b, row_number() OVER (PARTITION BY lang ORDER BY item_id, strlen(text)) AS n FROM items),
+p AS (SELECT g, n, item_id, lang, 1 AS packet_no, 1 AS held, b AS filled FROM r WHERE n = 1
+ UNION ALL SELECT r.g, r.n, r.item_id, r.lang, CASE WHEN p.held = 8 OR p.filled + r.b > 4000 THEN p.packet_no + 1 ELSE p.packet_no END, CASE WHEN p.held = 8 OR p.filled + r.b > 4000 THEN 1 ELSE p.held + 1 END, CASE WHEN p.held = 8 OR p.filled + r.b > 4000 THEN r.b ELSE p.filled + r.b END FROM p JOIN r ON r.g = p.g AND r.n = p.n + 1)
+SELECT item_id, lang, packet_no FROM p
 """)
 def packet_assign(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "items").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    return inference.packets(items, ["lang"], [F.col("item_id")], F.octet_length("text"), 8, 24_000).select("item_id", "lang", "packet_no")
-
-
-@query("""
-WITH r AS (SELECT item_id, lang, strlen(text) AS b, sum(strlen(text)) OVER (PARTITION BY lang ORDER BY item_id ROWS UNBOUNDED PRECEDING) AS run FROM items WHERE text IS NOT NULL),
-s AS (SELECT *, floor((run - 1) / 24000) AS slot FROM r), t AS (SELECT *, row_number() OVER (PARTITION BY lang, slot ORDER BY item_id) - 1 AS pos FROM s)
-SELECT item_id, lang, CAST(dense_rank() OVER (PARTITION BY lang ORDER BY slot, floor(pos / 8)) AS INTEGER) AS packet_no FROM t
-""")
-def packet_assign_all(spark: SparkSession, d: str) -> DataFrame:
-    """All items with text, those without lang as a group of their own; ``packet_assign`` has the rows that its SQL names."""
-    items = table(spark, d, "items").where(F.col("text").isNotNull())
-    return inference.packets(items, ["lang"], [F.col("item_id")], F.octet_length("text"), 8, 24_000).select("item_id", "lang", "packet_no")
+    """Packets of at most 8 items and 4,000 bytes in the order of the items of each language; items without language are a group of their own."""
+    items = table(spark, d, "items").select("item_id", "lang", F.octet_length("text").alias("bytes"))
+    return inference.packets(items, "lang", "item_id", "bytes", 8, 4_000).drop("bytes")
 
 
 @query("""
@@ -514,23 +516,12 @@ def top_per_group(spark: SparkSession, d: str) -> DataFrame:
     return ranking.top_per_group(table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_acctbal"), ["c_nationkey"], [F.desc("c_acctbal"), F.col("c_custkey")], 5).drop("c_acctbal")
 
 
-@query("""
-SELECT part, CASE WHEN b IS NULL THEN 'added' WHEN a IS NULL THEN 'removed' ELSE 'moved' END AS change, CAST(b AS INTEGER) AS rank_before, CAST(a AS INTEGER) AS rank_after FROM (
- SELECT coalesce(x.p, y.p) AS part, x.r AS b, y.r AS a FROM (SELECT l_partkey AS p, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) r FROM lineitem WHERE l_suppkey = 1 AND l_returnflag = 'A') x FULL JOIN
- (SELECT l_partkey AS p, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) r FROM lineitem WHERE l_suppkey = 1 AND l_returnflag = 'A') y ON x.p = y.p AND x.p IS NOT NULL) WHERE a IS DISTINCT FROM b
-""")
-def ranking_diff(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where((F.col("l_suppkey") == 1) & (F.col("l_returnflag") == "A")).select(F.col("l_partkey").alias("part"), "l_suppkey", "l_quantity", "l_extendedprice", "l_orderkey", "l_linenumber")
-    by = lambda c: ranking.ranked(rows, [F.desc(c), F.col("l_orderkey"), F.col("l_linenumber")], ["l_suppkey"]).select("part", "rank")
-    return ranking.ranking_diff(by("l_quantity"), by("l_extendedprice"), "part")
-
-
 @query("""
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS b, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_quantity) AS a FROM lineitem)
 SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, 'moved' AS change, CAST(b AS INTEGER) AS rank_before, CAST(a AS INTEGER) AS rank_after FROM r WHERE a <> b
 """)
-def ranking_diff_all(spark: SparkSession, d: str) -> DataFrame:
-    """All suppliers' rows; ``ranking_diff`` has the rows that its SQL names. Line numbers repeat within orders, so part and figures are in the key."""
+def ranking_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that two rankings within their supplier place differently. Line numbers repeat within orders, so part and figures are in the key."""
     key = ["l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
     rows = table(spark, d, "lineitem").select(*key)
     by = lambda c, last: ranking.ranked(rows, [F.desc(c), *map(F.col, key[1:4]), F.col(last)], ["l_suppkey"]).select(*key, "rank")
@@ -564,11 +555,14 @@ def must_include_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT coalesce(c_mktsegment, '_all') AS segment, coalesce(CAST(n_name AS VARCHAR), '_all') AS nation, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (c_mktsegment, n_name)
+SELECT coalesce(c_mktsegment, '_all') AS segment, coalesce(CAST(n_name AS VARCHAR), '_all') AS nation, count(*) AS n, floor((CAST(sum(CAST(c_acctbal AS DECIMAL(12, 2))) * 100 AS BIGINT) * 200.0 + count(*)) / (2 * count(*))) / 10000 AS mean FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (c_mktsegment, n_name)
 """)
 def tier_rollup(spark: SparkSession, d: str) -> DataFrame:
     joined = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.rollup("c_mktsegment", "n_name").agg(F.count("*").alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean")).select(F.coalesce("c_mktsegment", F.lit("_all")).alias("segment"), F.coalesce("n_name", F.lit("_all")).alias("nation"), "n", "mean")
+    # exact sums: means of doubles added in another order differ at the edge of rounding
+    cents = (F.sum(F.col("c_acctbal").cast("decimal(12,2)")) * 100).cast("bigint")
+    mean = F.floor((cents * 200.0 + F.count("*")) / (2 * F.count("*"))) / 10000
+    return joined.rollup("c_mktsegment", "n_name").agg(F.count("*").alias("n"), mean.alias("mean")).select(F.coalesce("c_mktsegment", F.lit("_all")).alias("segment"), F.coalesce("n_name", F.lit("_all")).alias("nation"), "n", "mean")
 
 
 @query("""
@@ -625,9 +619,9 @@ def coverage_cube(spark: SparkSession, d: str) -> DataFrame:
 # --- set operations ---------------------------------------------------------------------------------------------------
 
 
-@query("(SELECT security_id FROM securities EXCEPT SELECT security_id FROM universe_rows) UNION (SELECT security_id FROM universe_rows EXCEPT SELECT security_id FROM securities)")
+@query("(SELECT company_key FROM securities EXCEPT SELECT company_key FROM documents) UNION ALL (SELECT company_key FROM documents EXCEPT SELECT company_key FROM securities)")
 def one_side_only_keys(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (table(spark, d, t).select("security_id").distinct() for t in ("securities", "universe_rows"))
+    a, b = (table(spark, d, t).select("company_key").distinct() for t in ("securities", "documents"))
     return a.exceptAll(b).unionByName(b.exceptAll(a))
 
 
@@ -710,22 +704,27 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
 # --- the star schema --------------------------------------------------------------------------------------------------
 
 
+def _net() -> Column:
+    """Discounted price summed exactly: the same figure whatever the order of the rows."""
+    return F.sum(F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("double")
+
+
 @query("""
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2
 """)
 def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), _net().alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
 
 
 @query("""
-SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1
+SELECT n_name, CAST(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))) AS DOUBLE) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1
 """)
 def local_supplier_volume(spark: SparkSession, d: str) -> DataFrame:
     c, o, li, s, n, r = (table(spark, d, t) for t in ("customer", "orders", "lineitem", "supplier", "nation", "region"))
     joined = c.join(o, F.col("c_custkey") == F.col("o_custkey")).join(li, F.col("l_orderkey") == F.col("o_orderkey")).join(s, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
     joined = joined.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return joined.groupBy("n_name").agg(_net().alias("revenue"))
 
 
 @query("SELECT p_brand, p_type, count(DISTINCT l_suppkey) AS suppliers, round(sum(l_quantity), 2) AS quantity FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY 1, 2")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -67,10 +68,19 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a session whose executors all live in this process (master ``local``) gets a folder of this machine; any other
+    is refused, as tables in a folder that executors don't share are lost with them.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tallyweir-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            named = os.path.join(tempfile.gettempdir(), "tallyweir-checkpoints")
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 

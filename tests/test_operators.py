@@ -139,15 +139,68 @@ def test_ranking_diff_of_all_suppliers(spark, tmp_path):
 
     lines = [(1, 1, 1, 7, 5.0, 1.0), (1, 2, 1, 7, 4.0, 2.0), (2, 1, 1, 8, 5.0, 1.0), (2, 2, 1, 8, 4.0, 2.0), (3, 1, 1, 9, 1.0, 1.0)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
-    assert rows(entry.queries()["ranking_diff_all"](spark, str(tmp_path))) == [(7, 1, 1, 1, 5.0, 1.0, "moved", 1, 2), (7, 1, 2, 1, 4.0, 2.0, "moved", 2, 1), (8, 2, 1, 1, 5.0, 1.0, "moved", 1, 2), (8, 2, 2, 1, 4.0, 2.0, "moved", 2, 1)]
+    assert rows(entry.queries()["ranking_diff"](spark, str(tmp_path))) == [(7, 1, 1, 1, 5.0, 1.0, "moved", 1, 2), (7, 1, 2, 1, 4.0, 2.0, "moved", 2, 1), (8, 2, 1, 1, 5.0, 1.0, "moved", 1, 2), (8, 2, 2, 1, 4.0, 2.0, "moved", 2, 1)]
 
 
 def test_packets_without_lang(spark, tmp_path):
     import __spark_entry__ as entry
 
     spark.createDataFrame([(1, None, "a"), (2, "en", "b"), (3, None, None), *[(k, None, "x") for k in range(4, 12)]], "item_id long, lang string, text string").write.parquet(str(tmp_path / "items.parquet"))
-    found = {r["item_id"]: r["packet_no"] for r in entry.queries()["packet_assign_all"](spark, str(tmp_path)).collect()}
-    assert found == {1: 1, 2: 1, **{k: 1 for k in range(4, 11)}, 11: 2}
+    found = {r["item_id"]: r["packet_no"] for r in entry.queries()["packet_assign"](spark, str(tmp_path)).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, **{k: 1 for k in range(4, 10)}, 10: 2, 11: 2}
+
+
+def test_packets_keep_their_capacity(spark):
+    import random
+
+    rng = random.Random(5)
+    made = [(k, rng.choice(["a", "b", None]), rng.randint(0, 15)) for k in range(400)]
+    df = spark.createDataFrame([*made, (900, "c", 8), (901, "c", 8), (902, "c", 8)], "k int, g string, s int").repartition(5)
+    for run in (8_192, 50):
+        out = inference.packets(df, "g", "k", "s", 5, 12, run).collect()
+        sums = {}
+        for r in out:
+            sums.setdefault((r["g"], r["packet_no"]), []).append(r["s"])
+        assert all(len(v) <= 5 and (sum(v) <= 12 or len(v) == 1) for v in sums.values()) and len(out) == 403
+        assert [len(v) for (g, _), v in sorted(sums.items(), key=str) if g == "c"] == [1, 1, 1]
+        for g in ("a", "b", None):
+            assert {n for h, n in sums if h == g} == set(range(1, 1 + len([1 for h, _ in sums if h == g])))
+    # greedy in order: nothing that fits is put off
+    ours = {r["k"]: r["packet_no"] for r in inference.packets(df, "g", "k", "s", 5, 12).where("g = 'a'").collect()}
+    no, held, filled, expected = 1, 0, 0, {}
+    for k, g, s in made:
+        if g == "a":
+            if held and (held == 5 or filled + s > 12):
+                no, held, filled = no + 1, 0, 0
+            held, filled = held + 1, filled + s
+            expected[k] = no
+    assert ours == expected
+
+
+def test_cut_at_sentences(spark):
+    rows_ = [("zh", "第一句话在这里。第二句话也在这里。第三句话没有写完还有很多内容", 20), ("ja", "短い。" + "あ" * 40, 20), ("ko", "가나다 라마바 사아자 차카타 파하가 나다라", 16), ("ko", "첫째 문장이다. 1. 둘째 문장은 아주 길다 길다", 14), ("en", "One. Two words follow here", 20), (None, "สวัสดีครับ ทุกคน วันนี้ อากาศดีมาก", 20)]
+    df = spark.createDataFrame(rows_, "l string, t string, n int")
+    found = [df.where(F.col("t") == t).select(tx.truncate_words(F.col("t"), n, F.col("l"))).first()[0] for _, t, n in rows_]
+    assert found[:2] == ["第一句话在这里。第二句话也在这里。…", "短い。" + "あ" * 16 + "…"] and found[4] == "One. Two words…"
+    assert found[2] == "가나다 라마바 사아자…" and len(found[5]) <= 20
+    assert found[3] == "첫째 문장이다. 1.…"  # the point after a figure ends no sentence, so the blank decides
+
+
+def test_term_rules(spark):
+    cases = [("AI", "an AI tool", True), ("AI", "an ai tool", False), ("AI", "two AIs", True), ("robot", "robotics", True), ("ev", "evs", True), ("ev", "eves", False), ("电池", "电 池", True), ("AI 代理", "用AI代理", True), ("AI 代理", "XAI代理", False), ("battery cell", "Battery\n cells", True), ("c++", "c++ here", True), ("id", "ＩＤ", True)]
+    for term, text, expected in cases:
+        got = spark.createDataFrame([(text,)], "t string").where(F.col("t").rlike(tx.term_pattern(term))).count() == 1
+        assert got == expected, (term, text)
+
+
+def test_checkpoint_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tallyweir.session import checkpoint_folder
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError):
+        checkpoint_folder(far)
 
 
 def test_inclusion_query_has_all_draws(spark, tmp_path):

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("TALLYWEIR_TEST_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 SQL = entry.oracle_sql()
 
