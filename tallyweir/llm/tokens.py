@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +37,11 @@ def count_tokens(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = load_tokenizer(path)
         for pdf in batches:
+            # copies of a text in one batch are counted once
+            code, texts = pd.factorize(pdf["__text"])
             sizes: list[int] = []
-            for at in range(0, len(pdf), 256):
-                sizes += [len(e.ids) for e in tokenizer.encode_batch_fast(pdf["__text"].iloc[at : at + 256].tolist(), add_special_tokens=False)]
-            yield pdf.drop(columns="__text").assign(n_tokens=sizes)
+            for at in range(0, len(texts), 256):
+                sizes += [len(e.ids) for e in tokenizer.encode_batch_fast(list(texts[at : at + 256]), add_special_tokens=False)]
+            yield pdf.drop(columns="__text").assign(n_tokens=np.asarray(sizes, dtype=np.int64)[code])
 
     return source.mapInPandas(run, schema)

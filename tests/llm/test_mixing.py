@@ -12,7 +12,7 @@ DOCS = "doc_id bigint, text string, source string, repeats string"
 TARGETS = "source string, target_share double, max_repeats int"
 
 
-@pytest.mark.parametrize("mean,cap", [(0.2, 1), (0.9, 1), (1.0, 1), (1.3, 2), (3.5, 6), (0.0, 3), (4.0, 4)])
+@pytest.mark.parametrize("mean,cap", [(0.2, 1), (0.9, 1), (1.0, 1), (1.3, 2), (3.5, 6), (0.0, 3), (4.0, 4), (900.0, 1_000), (990.0, 1_000)])
 def test_mean_of_capped_poisson(mean, cap):
     steps = capped_poisson(mean, cap)
     assert len(steps) == cap and all(a <= b for a, b in zip(steps, steps[1:]))
@@ -23,6 +23,10 @@ def test_mean_of_capped_poisson(mean, cap):
 def test_rates():
     rates = plan_rates({"a": 1000, "b": 100, "z": 5}, {"a": (0.5, 1), "b": (0.5, 4), "gone": (0.1, 2)})
     assert rates == {"a": pytest.approx(0.4), "b": pytest.approx(4.0)}
+    # a source of little weight does not cut down the others, one of more does
+    rates = plan_rates({"a": 1000, "b": 900, "c": 1}, {"a": (0.6, 1), "b": (0.36, 2), "c": (0.04, 3)})
+    assert rates == {"a": pytest.approx(1.0), "b": pytest.approx(0.36 / 0.6 * 1000 / 900), "c": 3.0}
+    assert plan_rates({"a": 1000, "c": 1}, {"a": (0.9, 1), "c": (0.1, 3)})["a"] == pytest.approx(0.027)
     assert plan_rates({"a": 1000}, {"a": (1.0, 1)}, 5000)["a"] == 1.0 and plan_rates({}, {"a": (1.0, 1)}) == {}
 
 
@@ -45,6 +49,12 @@ def test_shares_and_caps(spark):
     assert sorted(map(tuple, mix_sources(frame, targets).collect())) == sorted(map(tuple, rows))
 
 
+def test_repeated_ids_keep_their_own_sizes(spark):
+    docs = [(1, "short", "large", None), (1, "a much longer text under the same id " * 20, "large", None), (2, "short", "large", None)]
+    found = sorted(r["n_tokens"] for r in mix_sources(spark.createDataFrame(docs, DOCS), spark.createDataFrame([("large", 1.0, 1)], TARGETS)).collect())
+    assert len(found) == 2 and found[0] < 5 < 50 < found[1]
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([("large", 1.0, 1)], TARGETS)
     assert mix_sources(spark.createDataFrame([], DOCS), targets).count() == 0
