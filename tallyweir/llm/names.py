@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 # Legal forms and listing notes at the end (or start) of names, lower case without points.
 LEGAL = frozenset(
     "inc incorporated corp corporation co company ltd limited plc llc lp llp sa nv bv ag se kgaa gmbh kk k.k oyj ab asa spa srl pty pte bhd tbk holdings holding group grp gp adr ads gdr pfd pref preferred preference sponsored unsponsored "
-    "ordinary shares share ord class cl reg registered public the a b c st listed formerly".split()
+    "ordinary shares share shs ord class cl reg registered public the a b c st listed formerly".split()
 )
 LEGAL_CJK = ("股份有限责任公司", "股份有限公司", "有限责任公司", "集团有限公司", "有限公司", "集团", "株式会社", "有限会社", "合同会社", "㈱", "(株)", "주식회사", "㈜", "(주)", "유한회사")
 PLACEHOLDERS = frozenset("n/a na none null test tbd unknown - -- . ? x xx xxx nan nil company name".split()) | {"不明", "未知", "없음", "なし", "?"}
@@ -48,7 +48,7 @@ _HANGUL = re.compile(r"[가-힣]")
 _LATIN = re.compile(r"[A-Za-z]")
 
 MIN_SUPPORT = 0.002  # share of all names that a phrase of business must end
-LEXICON_SIZE = 2_000  # bound of each learned table
+ENDING_SUPPORT = 0.0005  # share of all pairs of scripts that a native ending must have
 
 
 def plain(text: str) -> str:
@@ -277,11 +277,15 @@ def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn_lexicon(names: DataFrame) -> Lexicon:
-    """A lexicon from all names in column ``text``. Every name is counted; the learned tables are bounded by ``LEXICON_SIZE``."""
+    """A lexicon from all names in column ``text``. Every name is counted.
+
+    The learned tables are bounded whatever the number of names: at most 1 / ``MIN_SUPPORT`` last words and twice that many phrases can
+    have their share, at most 6 / ``ENDING_SUPPORT`` endings theirs (six lengths of one name), and a script has so many characters.
+    """
     counted = names.select("text").mapInPandas(_tails, "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).persist()
     total = counted.where(F.col("kind") == "one").agg(F.sum("n")).first()[0] or 0
     least = max(3, int(total * MIN_SUPPORT))
-    ends = counted.where((F.col("kind") != "link") & (F.col("n") >= least)).orderBy(F.desc("n"), "a", "b").limit(LEXICON_SIZE).collect()
+    ends = counted.where((F.col("kind") != "link") & (F.col("n") >= least)).orderBy(F.desc("n"), "a", "b").collect()
     one = {r["a"]: r["n"] for r in ends if r["kind"] == "one"}
     two = [(r["a"], r["b"], r["n"]) for r in ends if r["kind"] == "two"]
     phrases = [f"{a} {b}" for a, b, n in two if n >= 0.2 * one.get(b, n) and n >= least]
@@ -300,7 +304,8 @@ def learn_lexicon(names: DataFrame) -> Lexicon:
     linked = counted.where(F.col("kind") == "link").select("a", "b", "n")
     learned = linked.mapInPandas(_links(lexicon), "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     best = learned.groupBy("kind", "a").agg(F.max_by("b", F.struct("n", "b")).alias("b"), F.max("n").alias("top"), F.sum("n").alias("n"))
-    rows = best.where((F.col("top") >= 0.6 * F.col("n")) & ((F.col("kind") == "sound") | (F.col("n") >= 2))).orderBy(F.desc("n"), "kind", "a").limit(8 * LEXICON_SIZE).collect()
+    spelt_twice = counted.where(F.col("kind") == "link").agg(F.sum("n")).first()[0] or 0
+    rows = best.where((F.col("top") >= 0.6 * F.col("n")) & ((F.col("kind") == "sound") | (F.col("n") >= max(2, ENDING_SUPPORT * spelt_twice)))).collect()
     endings = {r["a"]: r["b"] for r in rows if r["kind"] == "ending"}
     sounds = {r["a"]: r["b"] for r in rows if r["kind"] == "sound"}
     counted.unpersist()
