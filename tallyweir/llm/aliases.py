@@ -7,9 +7,12 @@ nothing merges:
 * Spellings that stood side by side in one text merge without further proof.
 * Spellings block on what one edit leaves intact: the core itself and every core with one letter left out, which finds all
   cores within one edit (insertion, deletion, substitution, swap) of the same business.
-* A weak profile (few equal spellings) joins the one best stronger profile; two profiles that are both well attested stay apart.
+* A profile whose spellings are rare beside another's (single, or few for its size) joins the one best stronger profile; two
+  profiles that are both too frequent to be slips of each other stay apart, at any size of the corpus.
 * Names without business join the only company with their core; names with a first initial join the only company whose first
-  word begins with it. The richer profile offers its new spellings to the next round.
+  word begins with it.
+* A merged profile enters blocking again with what its spellings make together: a core of one with the business of another, the
+  initials of one with the rest of another's name.
 
 Hot blocks: keys are pre-aggregated to distinct spellings, so a form held by a third of all rows is one row here; members
 join back at the end.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from tallyweir.llm.names import Lexicon, learn_lexicon
 from tallyweir.session import checkpointed, ship_package
 
-ATTESTED = 2  # equal spellings that make a core sure
+SLIP_SHARE = 0.02  # of the occurrences of a spelling: one and the same slip is made no more often
 NONE = "~"
 
 
@@ -73,7 +76,7 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def resolve(rows: DataFrame, row_id: str = "alias_id", text: str = "text", market: str | None = "market", lexicon: Lexicon | None = None) -> DataFrame:
     """(row_id, cluster): rows that name the same company share a cluster.
 
-    Null, empty and placeholder texts are left out. A text that spells two names (two scripts side by side) joins both. Ties
+    Null, empty and placeholder texts are left out. A text that spells two names (two scripts side by side) merges them. Ties
     between possible companies go to the one whose market agrees; where several remain, nothing is merged.
     """
     lexicon = lexicon or learn_lexicon(rows.select(F.col(text).alias("text")))
@@ -81,36 +84,33 @@ def resolve(rows: DataFrame, row_id: str = "alias_id", text: str = "text", marke
     # forms: distinct spellings with their support; a name without business stands for its market only
     sure = (F.col("business") != NONE) & ~F.col("initial")
     local = F.when(sure, F.lit("")).otherwise(F.coalesce("market", F.lit("")))
-    form = F.concat_ws("|", "core", "business", F.col("initial").cast("string"), local)
-    read = read.withColumn("node", form)
-    # spellings given side by side: each distinct pair of forms is a key that both hold
-    beside = read.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") != F.col("b")).select("a", "b").distinct()
-    pair = F.concat_ws("~~", "a", "b")
-    links = beside.select(F.explode(F.array("a", "b")).alias("node"), pair.alias("pair")).groupBy("node").agg(F.collect_set("pair").alias("links"))
+    read = read.withColumn("node", F.concat_ws("|", "core", "business", F.col("initial").cast("string"), local))
+    # spellings given side by side: each distinct pair of forms
+    beside = read.groupBy("id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where(F.col("x") != F.col("y")).select("x", "y").distinct()
+    beside = beside.select("x", "y", F.lit(-1).alias("kind")).unionByName(beside.select(F.col("y").alias("x"), F.col("x").alias("y"), F.lit(-1).alias("kind")))
     forms = read.groupBy("node").agg(
         F.first("core").alias("core"), F.first("business").alias("business"), F.first("initial").alias("initial"),
         F.min(F.nullif("first", F.lit(""))).alias("first"), F.min(F.nullif("rest", F.lit(""))).alias("rest"), F.min(F.nullif("raw", F.lit(""))).alias("raw"),
         F.count_distinct("id").alias("n"), F.collect_set("market").alias("markets"),
     )
-    forms = checkpointed(forms.join(links, "node", "left"))  # small beside the rows: one per distinct spelling
+    forms = checkpointed(forms)  # small beside the rows: one per distinct spelling
     clusters = forms.select("node", F.col("node").alias("cluster"))
-    near_pairs = far_pairs = None
-    far = False
+    keyed = checkpointed(_keyed(forms))  # read in every round
+    pairs = checkpointed(_pairs(keyed, keyed).unionByName(beside))
+    wide = False  # whether two edits are tried: only once one edit and the profiles' own keys merge no more
     while True:
         members = checkpointed(_members(forms, clusters))
-        if near_pairs is None:
-            near_pairs = checkpointed(_pairs(forms))
-        if far and far_pairs is None:
-            far_pairs = checkpointed(_far_pairs(forms))
-        found = checkpointed(_proposals(far_pairs if far else near_pairs, members, far))
+        # richer profiles enter blocking again, with what their members' spellings make together
+        again = _profile_pairs(forms, keyed, members)
+        found = checkpointed(_proposals(pairs.unionByName(again), members, False))
         if found.isEmpty():
-            if far:
+            if not wide:
+                far_pairs, wide = checkpointed(_far_pairs(forms)), True
+            found = checkpointed(_proposals(far_pairs, members, True))
+            if found.isEmpty():
                 break
-            far = True
-            continue
-        far = False
         clusters = checkpointed(_follow(clusters, found))
-    return read.select("id", "node").join(clusters, "node").groupBy("id").agg(F.min("cluster").alias("cluster")).withColumnRenamed("id", row_id)
+    return read.select("id", "node").join(clusters, "node").select(F.col("id").alias(row_id), "cluster").distinct()
 
 
 def deletions2(core: Column) -> Column:
@@ -118,16 +118,48 @@ def deletions2(core: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(deletions(core), lambda x: deletions(x))))
 
 
+def may_be_slip(n: Column, right: Column) -> Column:
+    """Whether a spelling is rare enough beside another to be a slip of it: once, or as often as one slip is made of so many."""
+    return n <= 1 + SLIP_SHARE * right
+
+
 def _far_pairs(forms: DataFrame) -> DataFrame:
-    """(x, y, kind): lone spellings of eight letters and more within two edits (deletions on either side, so a swap may count as
-    one) of another spelling of their business."""
+    """(x, y, kind): spellings of eight letters and more within two edits (deletions on either side, so a swap may count as
+    one) of another spelling of their business, beside which they are rare."""
     full = forms.where((F.col("business") != NONE) & ~F.col("initial") & (F.length("core") >= 8))
     keyed = full.select("node", "core", "business", "n", F.explode(deletions2(F.col("core"))).alias("key"))
-    x, y = keyed.where(F.col("n") == 1).alias("x"), keyed.alias("y")
-    near = x.join(y, ["business", "key"]).where((F.col("x.node") != F.col("y.node")) & (F.levenshtein(F.col("x.core"), F.col("y.core")) <= 3))
+    # what is no slip beside the most frequent spelling of its business is one beside none
+    most = full.groupBy("business").agg(F.max("n").alias("most"))
+    x, y = keyed.join(most, "business").where(may_be_slip(F.col("n"), F.col("most"))).alias("x"), keyed.alias("y")
+    near = x.join(y, ["business", "key"]).where((F.col("x.node") != F.col("y.node")) & may_be_slip(F.col("x.n"), F.col("y.n")) & (F.levenshtein(F.col("x.core"), F.col("y.core")) <= 3))
     return near.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"), F.lit(3).alias("kind")).distinct()
 
 
+def _profile_pairs(forms: DataFrame, keyed: DataFrame, members: DataFrame) -> DataFrame:
+    """(x, y, kind) by keys that no single spelling has but a profile's spellings make together.
+
+    * A core of one member with the business of another: both could stand in one name.
+    * A first initial and the rest of a name: the profile has a member of that rest and one whose first word begins so.
+    """
+    spelt = members.select("node", "cluster").join(forms.where(~F.col("initial")), "node").select("node", "cluster", "core", "business", "first", "rest", "raw", "n", "initial", "markets")
+    # profiles of one spelling make nothing new
+    several = members.groupBy("cluster").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("cluster")
+    spelt = spelt.join(several, "cluster")
+    trades = spelt.where(F.col("business") != NONE).select("cluster", "business").distinct()
+    # the name stands for the member that has its core; phrases of business are a bounded table
+    made = spelt.select("cluster", "node", "core", "raw", "first", "rest", F.col("business").alias("own")).join(trades, "cluster").where(F.col("business") != F.col("own"))
+    known = forms.where((F.col("business") != NONE) & ~F.col("initial")).select("core", "business")
+    made = made.join(known, ["core", "business"], "left_anti").groupBy("core", "business", "cluster").agg(*[F.min(c).alias(c) for c in ("node", "raw", "first", "rest")])
+    made = made.select("node", "core", "business", F.lit(False).alias("initial"), "first", "rest", "raw")
+    made = _keyed(made)
+    crossed = _pairs(keyed, made).unionByName(_pairs(made, keyed))
+    asks = forms.where(F.col("initial") & F.col("rest").isNotNull()).select(F.col("node").alias("x"), F.col("first").alias("letter"), "rest", F.col("business").alias("trade"))
+    offers = spelt.where((F.col("business") != NONE) & F.col("rest").isNotNull()).select(F.col("node").alias("y"), "cluster", "rest", "business")
+    letters = spelt.where((F.col("business") != NONE) & F.col("first").isNotNull()).select("cluster", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("first"), F.lit(3))), lambda k: F.substring("first", 1, 3).substr(F.lit(1), k))).alias("letter")).distinct()
+    met = asks.join(offers, "rest").where((F.col("trade") == F.col("business")) | (F.col("trade") == NONE)).join(letters, ["cluster", "letter"])
+    return crossed.unionByName(met.select("x", "y", F.lit(0).alias("kind"))).distinct()
+
+
 def _clash(a: Column, b: Column) -> Column:
     """Whether markets are known on both sides and don't meet."""
     return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
@@ -163,21 +195,23 @@ def _keys() -> Column:
         keyed(named, "bare", "asked", F.array(core)),
         keyed((business == NONE) & ~F.col("initial") & (F.length(core) >= 6), "loose", "asks", deletions(core)),
         keyed(named & (F.length(core) >= 6), "loose", "asked", deletions(core)),
-        # two spellings that stood side by side somewhere
-        keyed(F.col("links").isNotNull(), "link", "both", F.col("links")),
         # first initials
         keyed(F.col("initial") & rest.isNotNull(), "initial", "asks", F.array(rest)),
         keyed(named & rest.isNotNull(), "initial", "asked", F.array(rest)),
     )
 
 
-def _pairs(forms: DataFrame) -> DataFrame:
-    """(x, y, kind): which form could stand for which, by any rule. All rules share one join on their keys, made once.
+def _keyed(forms: DataFrame) -> DataFrame:
+    """The blocking keys of forms, a row each."""
+    return forms.select("node", "core", "raw", "business", "first", F.explode(_keys()).alias("k")).select("*", "k.rule", "k.side", "k.key").drop("k")
+
+
+def _pairs(asking: DataFrame, asked: DataFrame) -> DataFrame:
+    """(x, y, kind): which form of ``asking`` could stand for which of ``asked``, by any rule. All rules share one join on their keys.
 
-    kind: -1 side by side, 0 the same core or an initial, 1 one slip, 2 a shortened or bare name with a slip.
+    kind: 0 the same core or an initial, 1 one slip, 2 a shortened or bare name with a slip.
     """
-    keyed = forms.select("node", "core", "raw", "business", "first", F.explode(_keys()).alias("k")).select("*", "k.rule", "k.side", "k.key").drop("k")
-    x, y = keyed.where(F.col("side") != "asked").alias("x"), keyed.where(F.col("side") != "asks").alias("y")
+    x, y = asking.where(F.col("side") != "asked").alias("x"), asked.where(F.col("side") != "asks").alias("y")
     met = x.join(y, F.col("x.key") == F.col("y.key")).where(F.col("x.node") != F.col("y.node"))
     rule, cores = F.col("x.rule"), (F.col("x.core"), F.col("y.core"))
     holds = (
@@ -186,24 +220,24 @@ def _pairs(forms: DataFrame) -> DataFrame:
         .when(rule == "initial", F.startswith(F.col("y.first"), F.col("x.first")) & ((F.col("x.business") == F.col("y.business")) | (F.col("x.business") == NONE)))
         .otherwise(True)
     )
-    kind = F.when(rule == "link", -1).when(rule.isin("bare", "initial"), 0).when(rule.isin("loose", "clip"), 2).otherwise(1)
+    kind = F.when(rule.isin("bare", "initial"), 0).when(rule.isin("loose", "clip"), 2).otherwise(1)
     return met.where(holds).groupBy(F.col("x.node").alias("x"), F.col("y.node").alias("y")).agg(F.min(kind).alias("kind"))
 
 
 def _proposals(pairs: DataFrame, members: DataFrame, far: bool) -> DataFrame:
-    """(a, b): one further merge for each profile that has a single best partner among its members' pairs."""
+    """(a, b): one further merge for each profile that has a single best partner among its members' pairs (kind -1: side by side)."""
     side = lambda s: members.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("cluster", "n", "top", "size", "markets")])
     met = pairs.join(side("x"), "x").join(side("y"), "y").where(F.col("cluster_x") != F.col("cluster_y"))
     same, clash = F.coalesce(F.arrays_overlap("markets_x", "markets_y"), F.lit(False)), _clash(F.col("markets_x"), F.col("markets_y"))
     if far:
         # a lone partner needs the same market; of two lone spellings the later one moves
-        firm = (F.col("size_y") > 1) | (same & (F.col("cluster_x") > F.col("cluster_y")))
-        met = met.where((F.col("size_x") == 1) & firm & ~clash)
+        firm = (F.col("size_y") > F.col("size_x")) | (same & (F.col("size_y") == F.col("size_x")) & (F.col("cluster_x") > F.col("cluster_y")))
+        met = met.where(may_be_slip(F.col("size_x"), F.col("size_y")) & firm & ~clash)
         chosen = met.groupBy(F.col("cluster_x").alias("a")).agg(F.count_distinct("cluster_y").alias("k"), F.min("cluster_y").alias("b"))
         return chosen.where(F.col("k") == 1).select("a", "b")
-    # the weaker joins the stronger; two sure ones stay apart; markets that are both known must meet
+    # the weaker joins the stronger; one too frequent to be a slip stays apart; markets that are both known must meet
     weaker = (F.col("top_x") < F.col("top_y")) | ((F.col("top_x") == F.col("top_y")) & ((F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("cluster_x") > F.col("cluster_y")))))
-    met = met.where(weaker & ((F.col("kind") == -1) | ~((F.col("top_x") >= ATTESTED) | clash)))
+    met = met.where(weaker & ((F.col("kind") == -1) | (may_be_slip(F.col("top_x"), F.col("top_y")) & ~clash)))
     rank = F.struct((-F.col("kind")).alias("kind"), same.cast("int").alias("same"))
     offered = met.groupBy(F.col("cluster_x").alias("a"), rank.alias("rank"), F.col("cluster_y").alias("b")).agg(F.max("n_y").alias("nb"), F.max("size_y").alias("size_b"))
     ranked = offered.groupBy("a", "rank").agg(F.count("*").alias("k"), F.max_by("b", F.struct("nb", "size_b", "b")).alias("b"), F.max("nb").alias("nb"), F.min("nb").alias("least"))
@@ -218,8 +252,10 @@ def _members(forms: DataFrame, clusters: DataFrame) -> DataFrame:
     profile = f.groupBy("cluster").agg(
         F.coalesce(F.max(F.when((F.col("business") != NONE) & ~F.col("initial"), F.col("n"))), F.lit(0)).alias("top"),
         F.sum("n").alias("size"),
-        F.array_distinct(F.flatten(F.collect_list("markets"))).alias("markets"),
     )
+    # each market once: a set as long as the list of markets, whatever the cluster's size
+    markets = f.select("cluster", F.explode("markets").alias("m")).groupBy("cluster").agg(F.collect_set("m").alias("markets"))
+    profile = profile.join(markets, "cluster", "left").withColumn("markets", F.coalesce("markets", F.array().cast("array<string>")))
     return f.select("node", "cluster", "n").join(profile, "cluster")
 
 
@@ -233,7 +269,8 @@ def _follow(clusters: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def same_pairs(resolved: DataFrame, row_id: str = "alias_id") -> DataFrame:
-    """(a, b), smaller first: all pairs of rows of one cluster, as the required result has them. AQE splits a hot cluster's join."""
+    """(a, b), smaller first: all pairs of rows that share a cluster, each once, as the required result has them. AQE splits a hot cluster's
+    join. For other uses ``resolve`` has one row per row and cluster."""
     x, y = resolved.alias("x"), resolved.alias("y")
     pairs = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col(f"x.{row_id}") < F.col(f"y.{row_id}")))
-    return pairs.select(F.col(f"x.{row_id}").alias(f"{row_id}_a"), F.col(f"y.{row_id}").alias(f"{row_id}_b"))
+    return pairs.select(F.col(f"x.{row_id}").alias(f"{row_id}_a"), F.col(f"y.{row_id}").alias(f"{row_id}_b")).distinct()

@@ -3,7 +3,7 @@
 import random
 
 from tallyweir.llm.aliases import deletions, resolve, same_pairs, within_one_edit
-from tallyweir.llm.names import Lexicon, abbreviates, plain, romanise, split_scripts, spread, strip_legal
+from tallyweir.llm.names import Lexicon, _near, abbreviates, plain, romanise, split_scripts, spread, strip_legal
 
 ROWS = "alias_id bigint, text string, market string, cluster string"
 FIRST = ["Balo", "Nirato", "Vesti", "Korami", "Dulefa", "Zenobri", "Talimo", "Perudo", "Hasvike", "Gormila"]
@@ -57,3 +57,74 @@ def test_one_edit_matches_brute_force(spark):
 
 def test_empty(spark):
     assert same_pairs(resolve(spark.createDataFrame([], ROWS))).count() == 0
+
+
+FOODS = Lexicon(["foods"], {"食品": "foods"}, {})
+
+
+def clusters(spark, texts):
+    rows = resolve(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], ROWS), lexicon=FOODS).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(texts[r["alias_id"]], set()).add(r["cluster"])
+    return found
+
+
+def test_merged_profiles_block_again(spark):
+    """Neither spelling alone has the initial and the rest of the last one: only their merged profile has."""
+    found = clusters(spark, ["Carl Smith Foods"] * 3 + ["Karl Smyth Foods", "K. Smith Foods", "Berta Long Foods"])
+    assert found["Carl Smith Foods"] == found["Karl Smyth Foods"] == found["K. Smith Foods"] != found["Berta Long Foods"]
+    alone = clusters(spark, ["Carl Smith Foods"] * 3 + ["K. Smith Foods"])
+    assert alone["Carl Smith Foods"] != alone["K. Smith Foods"]
+
+
+def test_a_hot_company_keeps_its_slips(spark):
+    """Over half of all rows name one company; its slips come several times each, another company's name is as frequent as none is."""
+    found = clusters(spark, ["Karamito Foods"] * 600 + ["Karmito Foods"] * 5 + ["Karamitto Food"] * 4 + ["Karamitu Foods"] * 40 + ["Other Thing Foods"] * 100)
+    assert found["Karamito Foods"] == found["Karmito Foods"] == found["Karamitto Food"]
+    assert len(found["Karamito Foods"] | found["Karamitu Foods"] | found["Other Thing Foods"]) == 3
+
+
+def test_a_text_of_two_names_merges_them(spark):
+    found = clusters(spark, ["Balo Foods"] * 3 + ["ケムリ食品"] * 3 + ["Balo Foods / ケムリ食品", "Nerida Foods"])
+    assert found["Balo Foods"] == found["ケムリ食品"] == found["Balo Foods / ケムリ食品"] != found["Nerida Foods"]
+
+
+def test_blocking_misses_no_pair_within_one_edit(spark):
+    """All spellings against all of the same business: the keys meet every pair one edit apart."""
+    import os
+
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tallyweir.llm.aliases import _far_pairs, _keyed, _pairs, read_names
+    from tallyweir.llm.names import learn_lexicon
+    from tallyweir.session import table
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    rows = table(spark, folder, "aliases")
+    read = read_names(rows, "alias_id", "text", "market", learn_lexicon(rows.select("text"))).where("business <> '~' AND NOT initial")
+    forms = read.groupBy(F.concat_ws("|", "core", "business").alias("node")).agg(*[F.first(c).alias(c) for c in ("core", "business", "initial", "first", "rest")], F.nullif(F.min("raw"), F.lit("")).alias("raw"), F.count("*").alias("n")).cache()
+    known = [tuple(r) for r in forms.select("node", "core", "business", "n").collect()]
+    every = [(a, b) for a in known for b in known if a[2] == b[2] and a[0] != b[0]]
+    one = {(a[0], b[0]) for a, b in every if min(len(a[1]), len(b[1])) >= 5 and _near(a[1], b[1])}
+    keyed = _keyed(forms)
+    met = {tuple(r) for r in _pairs(keyed, keyed).select("x", "y").collect()}
+    assert len(one) > 20 and one <= met
+    two = {(a[0], b[0]) for a, b in every if a[3] == 1 and min(len(a[1]), len(b[1])) >= 8 and any(_near(x, y) for x in _left_out(a[1]) for y in _left_out(b[1]) if abs(len(x) - len(y)) <= 1) and edits(a[1], b[1]) <= 2}
+    assert two and two <= {tuple(r) for r in _far_pairs(forms).select("x", "y").collect()}
+
+
+def _left_out(word):
+    return [word] + [word[:i] + word[i + 1 :] for i in range(len(word))]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
