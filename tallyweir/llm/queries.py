@@ -12,7 +12,7 @@ from tallyweir.llm.linking import match_profiles
 from tallyweir.llm.mixing import mix_shares, mix_sources, shuffled_copies
 from tallyweir.llm.packing import pack_documents, packing_report
 from tallyweir.llm.prose import prose_probability
-from tallyweir.llm.scans import page_noise
+from tallyweir.llm.scans import page_noise, repaired_paragraphs
 from tallyweir.llm.sentences import sentence_ends
 from tallyweir.session import table
 
@@ -26,6 +26,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_noise(table(spark, sf_dir, "page_texts"))
 
 
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_paragraphs(table(spark, sf_dir, "page_texts"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_ends(table(spark, sf_dir, "items"))
 
@@ -57,6 +61,6 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p4_found, p5_found, p7_found, p8_packets, p8_report, p9_corpus, p9_shares, p10_found)
+    f.__name__: f for f in (p2_found, p4_found, p4_paragraphs, p5_found, p7_found, p8_packets, p8_report, p9_corpus, p9_shares, p10_found)
 }
 ORACLE: dict[str, str] = {}
