@@ -97,19 +97,25 @@ def resolve(rows: DataFrame, row_id: str = "alias_id", text: str = "text", marke
     clusters = forms.select("node", F.col("node").alias("cluster"))
     keyed = checkpointed(_keyed(forms))  # read in every round
     pairs = checkpointed(_pairs(keyed, keyed).unionByName(beside))
-    wide = False  # whether two edits are tried: only once one edit and the profiles' own keys merge no more
-    while True:
-        members = checkpointed(_members(forms, clusters))
-        # richer profiles enter blocking again, with what their members' spellings make together
-        again = _profile_pairs(forms, keyed, members)
-        found = checkpointed(_proposals(pairs.unionByName(again), members, False))
+    # One edit until nothing merges; then the merged profiles block again with what their members' spellings make together; then two
+    # edits. Whatever merges sends all back to the first step.
+    steps, far_pairs = ("near", "again", "far"), None
+    at = 0
+    members = checkpointed(_members(forms, clusters))
+    while at < len(steps):
+        if steps[at] == "near":
+            met = pairs
+        elif steps[at] == "again":
+            met = _profile_pairs(forms, keyed, members)
+        else:
+            met = far_pairs = far_pairs or checkpointed(_far_pairs(forms))
+        found = checkpointed(_proposals(met, members, steps[at] == "far"))
         if found.isEmpty():
-            if not wide:
-                far_pairs, wide = checkpointed(_far_pairs(forms)), True
-            found = checkpointed(_proposals(far_pairs, members, True))
-            if found.isEmpty():
-                break
+            at += 1
+            continue
+        at = 0
         clusters = checkpointed(_follow(clusters, found))
+        members = checkpointed(_members(forms, clusters))
     return read.select("id", "node").join(clusters, "node").select(F.col("id").alias(row_id), "cluster").distinct()
 
 
@@ -151,13 +157,13 @@ def _profile_pairs(forms: DataFrame, keyed: DataFrame, members: DataFrame) -> Da
     known = forms.where((F.col("business") != NONE) & ~F.col("initial")).select("core", "business")
     made = made.join(known, ["core", "business"], "left_anti").groupBy("core", "business", "cluster").agg(*[F.min(c).alias(c) for c in ("node", "raw", "first", "rest")])
     made = made.select("node", "core", "business", F.lit(False).alias("initial"), "first", "rest", "raw")
-    made = _keyed(made)
-    crossed = _pairs(keyed, made).unionByName(_pairs(made, keyed))
+    made = checkpointed(_keyed(made))
     asks = forms.where(F.col("initial") & F.col("rest").isNotNull()).select(F.col("node").alias("x"), F.col("first").alias("letter"), "rest", F.col("business").alias("trade"))
     offers = spelt.where((F.col("business") != NONE) & F.col("rest").isNotNull()).select(F.col("node").alias("y"), "cluster", "rest", "business")
     letters = spelt.where((F.col("business") != NONE) & F.col("first").isNotNull()).select("cluster", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("first"), F.lit(3))), lambda k: F.substring("first", 1, 3).substr(F.lit(1), k))).alias("letter")).distinct()
     met = asks.join(offers, "rest").where((F.col("trade") == F.col("business")) | (F.col("trade") == NONE)).join(letters, ["cluster", "letter"])
-    return crossed.unionByName(met.select("x", "y", F.lit(0).alias("kind"))).distinct()
+    met = met.select("x", "y", F.lit(0).alias("kind")).distinct()
+    return met if made.isEmpty() else met.unionByName(_pairs(keyed, made)).unionByName(_pairs(made, keyed)).distinct()
 
 
 def _clash(a: Column, b: Column) -> Column:

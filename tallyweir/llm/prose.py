@@ -86,7 +86,7 @@ _PIECE = "struct<n:int,x:int,machine:boolean,bullet:boolean,repeats:boolean,word
 
 
 def _filled(lines: Column) -> Column:
-    return F.filter(F.transform(lines, lambda s: F.trim(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))), lambda s: s != "")
+    return F.filter(F.transform(lines, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
 
 
 def pieces(text: Column) -> Column:
@@ -108,22 +108,30 @@ def _struck(s: Column, pattern: str) -> Column:
     return F.length(s) - F.length(F.regexp_replace(s, pattern, ""))
 
 
-def _piece(s: Column) -> Column:
-    """A piece's figures: ``x`` 1 if it is built like a sentence, -1 like a list entry, table row or machine text, 0 if unsure;
+def _counts(s: Column) -> Column:
+    """A piece's figures, each pattern run over it once."""
+    dense = s.rlike(_DENSE)
+    return F.struct(
+        F.length(s).alias("n"), _struck(s, r"\p{L}+").alias("letters"), _struck(s, r"\p{Nd}+").alias("digits"), _struck(s, _TAG).alias("tags"),
+        _struck(s, r"[^\p{L}\p{M}\p{N}\s]+").alias("symbols"), dense.alias("dense"), s.rlike(_END).alias("ended"), s.rlike(_BULLET).alias("bullet"),
+        F.when(dense, 0).otherwise(_struck(s, rf"\S{{{_LONG_TOKEN},}}")).alias("unbroken"), F.when(dense, F.floor(F.length(s) / 2)).otherwise(F.size(F.split(s, r"\s+"))).cast("int").alias("tokens"),
+        F.substr(s, F.length(s), F.lit(1)).alias("last"),
+    )
+
+
+def _piece(c: Column, words: Column) -> Column:
+    """A piece from its figures: ``x`` 1 if it is built like a sentence, -1 like a list entry, table row or machine text, 0 if unsure;
     ``machine`` if it is mostly figures, marks, tags or unbroken strings whatever its words."""
-    n, letters, digits, tags = F.length(s), F.regexp_count(s, F.lit(r"\p{L}")), F.regexp_count(s, F.lit(r"\p{Nd}")), _struck(s, _TAG)
-    dense, ended, bullet = s.rlike(_DENSE), s.rlike(_END), s.rlike(_BULLET)
-    unbroken = F.when(dense, 0).otherwise(_struck(s, rf"\S{{{_LONG_TOKEN},}}"))
-    count = F.when(dense, F.floor(n / 2)).otherwise(F.regexp_count(s, F.lit(r"\S+")))
+    n = c["n"]
     x = (
-        F.when((tags > 0.15 * n) | (letters < 0.5 * n) | (digits > 0.3 * n) | (unbroken > 0) | (bullet & ~ended), -1)
-        .when(ended & (count >= 7) & ~bullet, 1)
-        .when((count <= 6) & ~ended & ~F.substr(s, n, F.lit(1)).isin(*",;:、，"), -1)
+        F.when((c["tags"] > 0.15 * n) | (c["letters"] < 0.5 * n) | (c["digits"] > 0.3 * n) | (c["unbroken"] > 0) | (c["bullet"] & ~c["ended"]), -1)
+        .when(c["ended"] & (c["tokens"] >= 7) & ~c["bullet"], 1)
+        .when((c["tokens"] <= 6) & ~c["ended"] & ~c["last"].isin(*",;:、，"), -1)
         .otherwise(0)
     )
-    machine = (letters < 0.4 * n) | (digits > 0.35 * n) | (tags > 0.3 * n) | (unbroken > 0.5 * n)
-    words = words_of(s)
-    return F.struct(n.alias("n"), x.cast("int").alias("x"), machine.alias("machine"), bullet.alias("bullet"), ((F.size(words) >= 8) & (F.size(F.array_distinct(words)) < 0.34 * F.size(words))).alias("repeats"), words.alias("words"))
+    machine = (c["letters"] < 0.4 * n) | (c["digits"] > 0.35 * n) | (c["tags"] > 0.3 * n) | (c["unbroken"] > 0.5 * n)
+    repeats = (F.size(words) >= 8) & (F.size(F.array_distinct(words)) < 0.34 * F.size(words))
+    return F.struct(n.alias("n"), x.cast("int").alias("x"), machine.alias("machine"), c["bullet"].alias("bullet"), repeats.alias("repeats"), words.alias("words"))
 
 
 def _share(arr: Column, cond, size: Column) -> Column:
@@ -135,26 +143,26 @@ def read_texts(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(row, id, pieces, figures of the whole text) for every row whose text is not null or blank, written once. Whole texts are read."""
     source = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S"))
     t = F.col("text")
-    n, lines = F.length(t), _filled(F.split(t, "\n"))
-    letters = F.regexp_count(t, F.lit(r"\p{L}"))
-    words = F.regexp_extract_all(F.lower(t), F.lit(f"({_WORD})"), F.lit(1))
-    source = source.withColumns({"row": F.monotonically_increasing_id(), "lines": lines, "words": words, "pieces": F.transform(pieces(t), _piece)})
-    n_words, n_lines = F.size("words"), F.greatest(F.size("lines"), F.lit(1))
+    # each step stands on columns of the one before, so that no pattern is run twice
+    source = source.select(F.monotonically_increasing_id().alias("row"), "id", "text", pieces(t).alias("cut"), _filled(F.split(t, "\n")).alias("lines"), F.length(t).alias("size"))
+    source = source.select("*", F.transform("cut", _counts).alias("figures"), F.transform("cut", words_of).alias("words_by"))
+    source = source.select("row", "id", "text", "lines", "size", "figures", F.transform("figures", lambda c, i: _piece(c, F.get("words_by", i))).alias("pieces"), F.flatten("words_by").alias("words"))
+    total = lambda name: F.aggregate("figures", F.lit(0).cast("long"), lambda a, c: a + c[name])
+    n, n_words, n_lines = F.col("size"), F.size("words"), F.greatest(F.size("lines"), F.lit(1))
     line_sizes = F.aggregate("lines", F.lit(0).cast("long"), lambda a, s: a + F.length(s))
-    filled = F.greatest(F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["n"]), F.lit(1))
-    source = source.withColumn("filled", filled)
+    source = source.select("*", F.greatest(total("n"), F.lit(1)).alias("filled"), total("letters").alias("letters"), total("digits").alias("digits"), total("symbols").alias("symbols"), total("tags").alias("tags"))
+    p, filled = F.col("pieces"), F.col("filled")
     return checkpointed(source.select(
-        "row", "id", F.col("pieces").cast(f"array<{_PIECE}>").alias("pieces"), "filled",
+        "row", "id", p.cast(f"array<{_PIECE}>").alias("pieces"), "filled",
         F.log1p(n).alias("n_chars"), F.log1p(n_words).alias("n_words"), F.log1p(F.size("lines")).alias("n_lines"),
         (F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)) / F.greatest(n_words, F.lit(1))).alias("mean_word_length"),
-        (F.regexp_count(t, F.lit(r"[^\p{L}\p{M}\p{N}\s]")) / n).alias("symbol_ratio"), (F.regexp_count(t, F.lit(r"\p{Nd}")) / n).alias("digit_ratio"),
-        (F.regexp_count(t, F.lit(r"\p{Lu}")) / F.greatest(letters, F.lit(1))).alias("upper_ratio"), (F.regexp_count(t, F.lit(r"(?U)\s")) / n).alias("blank_ratio"),
-        (F.size(F.filter("lines", lambda s: s.rlike(_END))) / n_lines).alias("line_end_share"), _share(F.col("pieces"), lambda p: p["bullet"], F.col("filled")).alias("bullet_share"),
+        (F.col("symbols") / n).alias("symbol_ratio"), (F.col("digits") / n).alias("digit_ratio"),
+        (_struck(t, r"\p{Lu}+") / F.greatest("letters", F.lit(1))).alias("upper_ratio"), (_struck(t, r"(?U)\s+") / n).alias("blank_ratio"),
+        (F.size(F.filter("lines", lambda s: s.rlike(_END))) / n_lines).alias("line_end_share"), _share(p, lambda p: p["bullet"], filled).alias("bullet_share"),
         (F.size(F.filter("lines", lambda s: F.length(s) < 40)) / n_lines).alias("short_line_share"), F.log1p(line_sizes / n_lines).alias("mean_line_length"),
-        (F.size(F.array_distinct("words")) / F.greatest(n_words, F.lit(1))).alias("variety"), (_struck(t, _TAG) / n).alias("tag_ratio"),
-        _share(F.col("pieces"), lambda p: p["machine"], F.col("filled")).alias("machine_share"), _share(F.col("pieces"), lambda p: p["x"] < 0, F.col("filled")).alias("list_share"),
-        _share(F.col("pieces"), lambda p: p["x"] > 0, F.col("filled")).alias("sentence_share"),
-        (F.size(F.filter("pieces", lambda p: p["x"] < 0)) / F.greatest(F.size("pieces"), F.lit(1))).alias("entries"),
+        (F.size(F.array_distinct("words")) / F.greatest(n_words, F.lit(1))).alias("variety"), (F.col("tags") / n).alias("tag_ratio"),
+        _share(p, lambda p: p["machine"], filled).alias("machine_share"), _share(p, lambda p: p["x"] < 0, filled).alias("list_share"), _share(p, lambda p: p["x"] > 0, filled).alias("sentence_share"),
+        (F.size(F.filter(p, lambda p: p["x"] < 0)) / F.greatest(F.size(p), F.lit(1))).alias("entries"),
     ))
 
 
