@@ -38,6 +38,7 @@ _BULLET = r"^(?:[-*•·–—▪●○・>|+]|\(?[0-9]{1,3}[.)]\s|\(?[a-zA-Z][.
 _TAG = r"</?[a-zA-Z][^<>]{0,200}>|https?://\S+|[{};=]|&[a-z]+;|\\[a-z]+"
 _END = r"[.!?。！？।…][\"'”’»」』)）\]]*$"
 _STOP = r"(?<=[.!?。！？।])\s+|(?<=[。！？।])"
+_BLANKS = " \t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _LONG_LINE, _LONG_TOKEN = 200, 46
 
 # Hand-checked holdout: (text, whether over half of it is not prose).
@@ -86,7 +87,12 @@ _PIECE = "struct<n:int,x:int,machine:boolean,bullet:boolean,repeats:boolean,word
 
 
 def _filled(lines: Column) -> Column:
-    return F.filter(F.transform(lines, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(lines, lambda s: F.btrim(s, F.lit(_BLANKS))), lambda s: s != "")
+
+
+def _is_dense(s: Column) -> Column:
+    """Whether a text has characters of a script without blanks; one of single bytes has none, which needs no search."""
+    return (F.octet_length(s) > F.length(s)) & s.rlike(_DENSE)
 
 
 def pieces(text: Column) -> Column:
@@ -99,8 +105,8 @@ def words_of(piece: Column) -> Column:
     """Lower-case words; in scripts without blanks pairs of characters."""
     words = F.regexp_extract_all(F.lower(piece), F.lit(f"({_WORD})"), F.lit(1))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(2)))
-    dense = F.flatten(F.transform(words, lambda w: F.when(w.rlike(_DENSE), pairs(w)).otherwise(F.array(w))))
-    return F.when(piece.rlike(_DENSE), dense).otherwise(words)
+    dense = F.flatten(F.transform(words, lambda w: F.when(_is_dense(w), pairs(w)).otherwise(F.array(w))))
+    return F.when(_is_dense(piece), dense).otherwise(words)
 
 
 def _struck(s: Column, pattern: str) -> Column:
@@ -110,7 +116,7 @@ def _struck(s: Column, pattern: str) -> Column:
 
 def _counts(s: Column) -> Column:
     """A piece's figures, each pattern run over it once."""
-    dense = s.rlike(_DENSE)
+    dense = _is_dense(s)
     return F.struct(
         F.length(s).alias("n"), _struck(s, r"\p{L}+").alias("letters"), _struck(s, r"\p{Nd}+").alias("digits"), _struck(s, _TAG).alias("tags"),
         _struck(s, r"[^\p{L}\p{M}\p{N}\s]+").alias("symbols"), dense.alias("dense"), s.rlike(_END).alias("ended"), s.rlike(_BULLET).alias("bullet"),
