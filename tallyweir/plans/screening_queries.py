@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweir.functions import evidence, fields
+from tallyweir.functions import text as tx
 from tallyweir.operators import relational as rel
 from tallyweir.operators import screening as sc
 from tallyweir.session import table
 from tallyweir.sources import listings as ls
+from tallyweir.sources import schemas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -259,3 +262,89 @@ def parse_tickers(spark: SparkSession, d: str) -> DataFrame:
 @query(r"SELECT listing_id, trim(regexp_replace(regexp_replace(upper(trim(ticker)), '[.\s/_]+', '-', 'g'), '-{2,}', '-', 'g'), '-') AS ticker, CASE WHEN length(trim(id_isin)) = 12 THEN 'isin:' || trim(id_isin) ELSE 'sec:' || listing_id END AS company FROM profile_rows")
 def ticker_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "profile_rows").select("listing_id", ls.plain_ticker(F.col("ticker")).alias("ticker"), ls.listing_key(F.col("id_isin"), F.col("listing_id")).alias("company"))
+
+
+# --- evidence, fields and relations -----------------------------------------------------------------------------------
+
+TERMS = ["pressure valve", "battery cell", "machine tool", "freight software"]
+WEAK = ["group", "company", "board", "customer"]
+COUNTRIES = {"United States": "North America", "Japan": "Asia", "China": "Asia", "South Korea": "Asia", "India": "Asia", "United Kingdom": "Europe", "France": "Europe", "Germany": "Europe", "Spain": "Europe", "South Africa": "Africa"}
+VENUES = {"NASDAQ": "North America", "NYSE": "North America", "JSE": "Africa", "LSE": "Europe", "KRX": "Asia", "TASE": "Middle East"}
+
+
+def _like(t: str) -> str:
+    return tx.term_pattern(t)
+
+
+_PARAS = r"(SELECT doc_id, generate_subscripts(p, 1) - 1 AS place, unnest(p) AS para FROM (SELECT doc_id, list_filter(list_transform(CASE WHEN len(b) < 4 THEN string_split(text, chr(10)) ELSE b END, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) >= 80) AS p FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\n[ \t]*\n'), lambda x: trim(x, ' ') <> '') AS b FROM documents WHERE text IS NOT NULL)))"
+_SCORE = " + ".join([f"CASE WHEN regexp_matches(para, '{_like(t)}') THEN 1.0 ELSE 0 END" for t in TERMS] + [f"CASE WHEN regexp_matches(para, '{_like(t)}') THEN 0.25 ELSE 0 END" for t in WEAK])
+
+
+@query(f"SELECT doc_id, place, CAST(score AS DOUBLE) AS score, para AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS r FROM (SELECT doc_id, CAST(place AS INTEGER) AS place, {_SCORE} AS score, para FROM {_PARAS}) WHERE score >= 1) WHERE r <= 3")
+def telling_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Up to three paragraphs of each document by weighted terms; three is the feature."""
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
+    return docs.select("doc_id", F.explode(evidence.telling_paragraphs(F.col("text"), TERMS, WEAK)).alias("p")).select("doc_id", F.col("p.at").alias("place"), "p.score", "p.text")
+
+
+@query()
+def evidence_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """Opening, keyword and description excerpts of each document beside its company's profile; tested on literal texts."""
+    profiles = table(spark, d, "documents").where((F.col("source") == "profile_page") & F.col("company_key").isNotNull()).groupBy("company_key").agg(F.max_by("text", F.struct("n_chars", "doc_id")).alias("profile"))
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "company_key", "text").join(profiles, "company_key", "left")
+    return docs.select("doc_id", F.explode(evidence.excerpts(F.col("text"), TERMS, WEAK, F.col("profile"))).alias("e")).select("doc_id", "e.kind", "e.text")
+
+
+_HEAVY = " + ".join(f"CASE WHEN contains(text, '{w}') THEN 1 ELSE 0 END" for w in evidence.RESULT_WORDS)
+
+
+@query(rf"""
+SELECT doc_id, coalesce(d / nullif(length(text), 0) >= 0.12 OR (d / nullif(length(text), 0) >= 0.05 AND {_HEAVY} >= 2), false) AS figure_heavy, regexp_matches(text, '[\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Hangul}}]') OR (l > 0 AND n * 2 < l) AS other_script,
+len(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z\-]{{5,}}'))) AS long_words, len(list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9\-]*')), lambda w: regexp_matches(w, '[A-Z0-9].*[A-Z0-9]') AND regexp_matches(w, '[A-Z]'))) AS anchors
+FROM (SELECT doc_id, text, length(text) - length(regexp_replace(text, '\p{{Nd}}+', '', 'g')) AS d, length(regexp_replace(text, '[^\p{{L}}]+', '', 'g')) AS l, length(regexp_replace(text, '[^\p{{Latin}}]+', '', 'g')) AS n FROM documents WHERE text IS NOT NULL)
+""")
+def text_marks(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    counts = [F.size(c).cast("long").alias(n) for c, n in ((evidence.description_words(t), "long_words"), (evidence.latin_anchors(t), "anchors"))]
+    return table(spark, d, "documents").where(t.isNotNull()).select("doc_id", evidence.figure_heavy(t).alias("figure_heavy"), fields.not_english(t).alias("other_script"), *counts)
+
+
+def _case(table_: dict, col: str) -> str:
+    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table_.items()) + " END"
+
+
+@query(f"SELECT region, count(*) AS lines, count(DISTINCT company_key) AS companies FROM (SELECT coalesce(CASE WHEN country NOT IN ('United Kingdom') THEN {_case(COUNTRIES, 'country')} END, {_case(VENUES, 'exchange')}, {_case(COUNTRIES, 'country')}, 'Other') AS region, company_key FROM securities) GROUP BY 1")
+def region_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Lines by region; one country is taken as a mere seat, so its lines go by their venue first."""
+    region = fields.region_for(F.col("country"), F.col("exchange"), COUNTRIES, VENUES, ("United Kingdom",))
+    return table(spark, d, "securities").groupBy(region.alias("region")).agg(F.count("*").alias("lines"), F.count_distinct("company_key").alias("companies"))
+
+
+@query(r"""
+SELECT obs_id, CASE WHEN v IS NULL THEN '-' WHEN abs(v) >= 1e12 THEN printf('%.1fT', v / 1e12) WHEN abs(v) >= 1e9 THEN printf('%.1fB', v / 1e9) WHEN abs(v) >= 1e6 THEN printf('%.1fM', v / 1e6) ELSE format('{:,}', CAST(round_even(v, 0) AS BIGINT)) END AS words,
+CASE WHEN floor(v * 0.98) > 0 THEN CAST(floor(v * 0.98) AS BIGINT) - CAST(floor(v * 0.98) AS BIGINT) % CAST(pow(10, greatest(0, length(CAST(CAST(floor(v * 0.98) AS BIGINT) AS VARCHAR)) - 2)) AS BIGINT) ELSE 0 END AS floor_value FROM (SELECT obs_id, floor(market_cap_usd / 1000) * 1000 + 1 AS v FROM market_daily)
+""")
+def money_fields(spark: SparkSession, d: str) -> DataFrame:
+    v = F.floor(F.col("market_cap_usd") / 1000) * 1000.0 + 1  # no figure stands half-way between two
+    return table(spark, d, "market_daily").select("obs_id", fields.money_words(v).alias("words"), fields.lower_floor(v).alias("floor_value"))
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{r}' AS relation, count(*) AS rows, count(*) FILTER (WHERE {' OR '.join(f'{k} IS NULL' for k in schemas.RELATIONS[r][1])}) AS null_keys, (SELECT count(*) FROM (SELECT 1 FROM {r} WHERE {' AND '.join(f'{k} IS NOT NULL' for k in schemas.RELATIONS[r][1])} GROUP BY {', '.join(schemas.RELATIONS[r][1])} HAVING count(*) > 1)) AS repeated_keys FROM {r}"
+    for r in ("sources", "snapshots", "securities", "market_daily", "documents")
+))
+def relation_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Tables brought into the store's relations, and what their keys lack."""
+    out = None
+    for r in ("sources", "snapshots", "securities", "market_daily", "documents"):
+        part = schemas.key_faults(schemas.conform(table(spark, d, r), r), r)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("SELECT security_id, CAST(as_of AS VARCHAR) AS as_of, close_price FROM (SELECT *, row_number() OVER (PARTITION BY security_id, as_of ORDER BY obs_id % 2 DESC, fetched_at DESC NULLS LAST, close_price DESC NULLS LAST) AS r FROM market_daily WHERE security_id IS NOT NULL AND as_of IS NOT NULL) WHERE r = 1")
+def market_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Odd rows delivered after even ones: of each line and day the newer delivery holds, within one the later fetch."""
+    rows = table(spark, d, "market_daily")
+    after = schemas.upsert(rows.where(F.col("obs_id") % 2 == 0), rows.where(F.col("obs_id") % 2 == 1), "market_daily", ["fetched_at", "close_price"])
+    return after.select("security_id", F.col("as_of").cast("string").alias("as_of"), "close_price")
