@@ -73,6 +73,29 @@ def extend_ordinals(keys: DataFrame, key: str, known: DataFrame | None = None) -
     return checkpointed(known.select(key, "ordinal").unionByName(new))
 
 
+def stored_ordinals(keys: DataFrame, key: str, folder: str) -> DataFrame:
+    """The dictionary kept under ``folder``, extended by the keys it lacks.
+
+    Each extension is a new version beside the old ones, complete or absent: a run that fails leaves the last version, and one
+    that brings no new key writes none. A key keeps its ordinal for as long as the folder is kept. One writer at a time.
+    """
+    spark = keys.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    base = hadoop.Path(folder)
+    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = []
+    if files.exists(base):
+        versions = [int(s.getPath().getName()) for s in files.listStatus(base) if s.getPath().getName().isdigit() and files.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
+    kind = keys.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField("ordinal", T.LongType())])
+    known = spark.read.schema(schema).parquet(f"{folder}/{max(versions)}") if versions else None
+    if known is not None and keys.where(F.col(key).isNotNull()).join(known, key, "left_anti").isEmpty():
+        return known
+    path = f"{folder}/{max(versions, default=0) + 1}"
+    extend_ordinals(keys, key, known).select(key, "ordinal").write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def complete_snapshots(snapshots: DataFrame, kind: str = "universe") -> DataFrame:
     """Complete snapshots of a kind with their place in time (``seq`` from 0) and their number (``total``).
 
@@ -93,6 +116,7 @@ def snapshot_changes(
     order: str = "row_no",
     kind: str = "universe",
     known: DataFrame | None = None,
+    ordinal_folder: str | None = None,
 ) -> DataFrame:
     """(snapshot_id, key, change) for every record added, removed or changed against the complete snapshot before.
 
@@ -100,7 +124,8 @@ def snapshot_changes(
     holds; a null ``order`` is lowest, equal orders are settled by the row's contents. Blanks at the ends, runs of
     blanks and empty against null are no change; letter case is. Snapshots that delivered no rows remove every line.
     Fewer than two complete snapshots give an empty result. All columns but snapshot_id, ``order`` and ``key`` are
-    compared, whatever they are called.
+    compared, whatever they are called. With ``ordinal_folder`` the keys' ordinals persist there from run to run (see
+    ``stored_ordinals``); else they are numbered for this run, after those of ``known`` if that is given.
     """
     ship_package(rows.sparkSession)
     values = [c for c in rows.columns if c not in ("snapshot_id", key, order)]
@@ -114,7 +139,8 @@ def snapshot_changes(
         .groupBy("seq", "total", "__key")
         .agg(F.max_by("__values", F.struct(F.coalesce(F.col("__order").cast("long"), F.lit(-(2**63) + 1)), "__values")).alias("__values"))
     )
-    ordinals = extend_ordinals(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("__key")), "__key", known)
+    keys = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"))
+    ordinals = stored_ordinals(keys, "__key", ordinal_folder) if ordinal_folder else extend_ordinals(keys, "__key", known)
     placed = last.join(ordinals, "__key")
     seq_no = F.col("seq")
     # a row takes part as the current one in its own run and as the former one in the run of seq + 1

@@ -112,15 +112,16 @@ def fx_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH h AS (SELECT l_suppkey, list(l_partkey ORDER BY l_orderkey, l_linenumber) AS p, list(l_quantity ORDER BY l_orderkey, l_linenumber) AS q FROM lineitem GROUP BY 1),
-z AS (SELECT l_suppkey, unnest(p) AS period, unnest(q) AS value FROM h)
-SELECT l_suppkey, count(*) AS n, round(sum(value), 2) AS total FROM z WHERE period IS NOT NULL GROUP BY 1
+WITH h AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS p, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS q FROM lineitem GROUP BY 1),
+z AS (SELECT l_orderkey, unnest(p) AS period, unnest(q) AS value FROM h)
+SELECT l_orderkey, count(*) AS n, round(sum(value), 2) AS total FROM z WHERE period IS NOT NULL GROUP BY 1
 """)
 def array_zip_history(spark: SparkSession, d: str) -> DataFrame:
-    point = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    history = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_list(point)).alias("h"))
-    pairs = history.select("l_suppkey", F.explode(rel.zip_history(F.col("h.l_partkey"), F.col("h.l_quantity"))).alias("x"))
-    return pairs.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("x.value"), 2).alias("total"))
+    """Parallel arrays of an order's few lines, zipped again."""
+    point = F.struct("l_linenumber", "l_partkey", "l_quantity")
+    history = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(point)).alias("h"))
+    pairs = history.select("l_orderkey", F.explode(rel.zip_history(F.col("h.l_partkey"), F.col("h.l_quantity"))).alias("x"))
+    return pairs.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("x.value"), 2).alias("total"))
 
 
 @query("""
@@ -162,12 +163,17 @@ def anti_join_queue(spark: SparkSession, d: str) -> DataFrame:
 SELECT s.security_id, count(DISTINCT x.doc_id) AS docs FROM securities s LEFT JOIN (SELECT doc_id, security_id AS k FROM documents UNION SELECT d.doc_id, t.security_id FROM documents d JOIN securities t ON d.company_key = t.company_key) x ON x.k = s.security_id GROUP BY 1
 """)
 def bridge_join_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of a line, attached directly or through its company; a hot company's join is split by AQE."""
+    """Documents of a line, attached directly or through its company.
+
+    Documents are counted by company before they meet its lines, so no pair of document and line is made; those attached directly count
+    beside them where they belong to another company.
+    """
     docs, lines = table(spark, d, "documents").select("doc_id", "security_id", "company_key"), table(spark, d, "securities").select("security_id", "company_key")
-    direct = docs.where(F.col("security_id").isNotNull()).select("security_id", "doc_id")
-    by_company = docs.select("company_key", "doc_id").join(lines, "company_key").select("security_id", "doc_id")
-    pairs = direct.unionByName(by_company).distinct().groupBy("security_id").agg(F.count("*").alias("docs"))
-    return lines.select("security_id").join(pairs, "security_id", "left").select("security_id", F.coalesce("docs", F.lit(0)).alias("docs"))
+    by_company = docs.where(F.col("company_key").isNotNull()).groupBy("company_key").agg(F.count_distinct("doc_id").alias("shared"))
+    direct = docs.where(F.col("security_id").isNotNull()).select("doc_id", "security_id", F.col("company_key").alias("theirs")).join(lines, "security_id")
+    own = direct.where(~F.coalesce(F.col("theirs") == F.col("company_key"), F.lit(False))).groupBy("security_id").agg(F.count_distinct("doc_id").alias("own"))
+    met = lines.join(by_company, "company_key", "left").join(own, "security_id", "left")
+    return met.select("security_id", (F.coalesce("shared", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("docs"))
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,13 @@ from pyspark.sql import functions as F
 from tallyweir.operators.snapshots import snapshot_changes
 from tallyweir.operators.timestamps import normalise_stamps, same_minute_pairs
 from tallyweir.operators.units import market_cap_units
-from tallyweir.session import table
+from tallyweir.session import checkpoint_folder, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshot_changes(table(spark, sf_dir, "universe_rows"), table(spark, sf_dir, "snapshots"))
+    # the dictionary of these tables' keys outlives the run in the shared folder
+    folder = f"{checkpoint_folder(spark)}/ordinals/{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"
+    return snapshot_changes(table(spark, sf_dir, "universe_rows"), table(spark, sf_dir, "snapshots"), ordinal_folder=folder)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,16 @@ def test_ordinals_persist(spark):
     old, new = dict(first.collect()), dict(more.collect())
     assert old.keys() == {"a", "b"} and new.keys() == {"a", "b", "c"}
     assert all(new[k] == v for k, v in old.items()) and len(set(new.values())) == 3
+
+
+def test_ordinals_persist(spark, tmp_path):
+    from tallyweir.operators.snapshots import stored_ordinals
+
+    folder = str(tmp_path / "ordinals")
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "k string")
+    first = {r["k"]: r["ordinal"] for r in stored_ordinals(frame(["a", "b", None, "b"]), "k", folder).collect()}
+    again = {r["k"]: r["ordinal"] for r in stored_ordinals(frame(["b"]), "k", folder).collect()}
+    assert again == first and [p.name for p in (tmp_path / "ordinals").iterdir()] == ["1"]
+    (tmp_path / "ordinals" / "2").mkdir()  # a version that was never finished
+    more = {r["k"]: r["ordinal"] for r in stored_ordinals(frame(["c", "a"]), "k", folder).collect()}
+    assert set(more) == {"a", "b", "c"} and {k: more[k] for k in first} == first and len(set(more.values())) == 3
