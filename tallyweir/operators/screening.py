@@ -16,6 +16,8 @@ PROFILE_FACTOR, CORE_WEIGHT, SIZE_WEIGHT = 0.5, 2.0, 0.01
 DEMOTE_LEAST, ENFORCE_LEAST, ASK_LEAST = 0.60, 0.60, 0.70
 BAND = (0.40, 0.75)
 SPLIT_LEAST, SPLIT_SHARE, KEEP_SHARE, OVERLAP_MOST, SPLITS_MOST = 4, 0.10, 0.20, 0.5, 2
+# What a profile that does not break off ends with.
+CLOSED = r"[.!?。！？)）\"”'」』]$"
 # Answers that speak against a row and those that speak for it, by family.
 AGAINST = {"product": ("component", "assembly_only", "adjacent"), "role": ("buyer_user", "upstream", "channel", "minority_holder", "other_link"), "target": ("other_only",)}
 IN_FAVOUR = {"product": ("own",), "role": ("supplier",), "target": ("named", "one_of_several")}
@@ -45,7 +47,7 @@ def is_thin(text: Column) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
     cjk = F.length(t) - F.length(F.regexp_replace(t, r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ac00}-\x{d7af}]+", ""))
     least = F.when(cjk * 3 > F.length(t), THIN_CHARS_CJK).otherwise(THIN_CHARS)
-    return (F.length(t) < least) | t.rlike(r"(?:…|\.\.\.)$") | ~t.rlike(r"[.!?。！？)）\"”'」』]$")
+    return (F.length(t) < least) | t.rlike(r"(?:…|\.\.\.)$") | ~t.rlike(CLOSED)
 
 
 def rescue_score(status: Column, probs: Column, text: Column) -> Column:

@@ -15,6 +15,7 @@ TRANSITION_FORMS = {"10-KT": "10-K", "20-FT": "20-F"}
 # Forms by which sources mark a company's yearly report.
 YEARLY_CODES = {"edinet_list": "030000", "dart_list": "A001", "cninfo_query": "category_ndbg", "sec_index": "10-K"}
 
+# The forms that a year and a yearly report's name take in titles.
 _YEAR = "(?:(?:19|20)[0-9]{2}|[一二][" + "".join(YEAR_DIGITS) + "0]{3})"
 _REPORT = r"年?\s*度\s*报\s*告"
 _SHORT = r"年?\s*报(?!\s*告)"
