@@ -94,14 +94,13 @@ def resolve(rows: DataFrame, row_id: str = "alias_id", text: str = "text", marke
         F.count_distinct("id").alias("n"), F.collect_set("market").alias("markets"),
     )
     forms = checkpointed(forms)  # small beside the rows: one per distinct spelling
-    clusters = forms.select("node", F.col("node").alias("cluster"))
     keyed = checkpointed(_keyed(forms))  # read in every round
     pairs = checkpointed(_pairs(keyed, keyed).unionByName(beside))
     # One edit until nothing merges; then the merged profiles block again with what their members' spellings make together; then two
     # edits. Whatever merges sends all back to the first step.
     steps, far_pairs = ("near", "again", "far"), None
     at = 0
-    members = checkpointed(_members(forms, clusters))
+    members = checkpointed(_members(forms, forms.select("node", F.col("node").alias("cluster"))))
     while at < len(steps):
         if steps[at] == "near":
             met = pairs
@@ -114,9 +113,8 @@ def resolve(rows: DataFrame, row_id: str = "alias_id", text: str = "text", marke
             at += 1
             continue
         at = 0
-        clusters = checkpointed(_follow(clusters, found))
-        members = checkpointed(_members(forms, clusters))
-    return read.select("id", "node").join(clusters, "node").select(F.col("id").alias(row_id), "cluster").distinct()
+        members = checkpointed(_members(forms, _follow(members.select("node", "cluster"), found)))
+    return read.select("id", "node").join(members.select("node", "cluster"), "node").select(F.col("id").alias(row_id), "cluster").distinct()
 
 
 def deletions2(core: Column) -> Column:
