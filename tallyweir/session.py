@@ -44,6 +44,14 @@ def keep_methods_compiled(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(COMPILED_BYTES))
 
 
+def release_finished(spark: SparkSession) -> None:
+    """Have the driver's JVM let go of what finished plans hold, which Spark only frees once the JVM collects.
+
+    For loops that plan and run many small jobs: their plans, shuffles and broadcasts would else pile up to the driver's limit.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
