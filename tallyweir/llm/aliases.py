@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweir.llm.names import Lexicon, learn_lexicon
-from tallyweir.session import checkpointed, ship_package
+from tallyweir.session import checkpointed, release_finished, ship_package
 
 SLIP_SHARE = 0.02  # of the occurrences of a spelling: one and the same slip is made no more often
 NONE = "~"
@@ -102,6 +102,7 @@ def resolve(rows: DataFrame, row_id: str = "alias_id", text: str = "text", marke
     at = 0
     members = checkpointed(_members(forms, forms.select("node", F.col("node").alias("cluster"))))
     while at < len(steps):
+        release_finished(rows.sparkSession)
         if steps[at] == "near":
             met = pairs
         elif steps[at] == "again":
