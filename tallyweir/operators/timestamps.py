@@ -14,7 +14,8 @@ from __future__ import annotations
 import calendar
 import importlib.metadata
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
+from functools import cache
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -120,6 +121,7 @@ def _masks(template: str) -> list[tuple[str, list[tuple[str, int, int]]]]:
     return found
 
 
+@cache
 def parser_table() -> list[tuple]:
     """(mask, kind, place and width of each of ``FIELDS``, whether two short numbers need the country's order, what the words tell)."""
     rows: dict[str, tuple] = {}
@@ -165,7 +167,7 @@ PARSER_SCHEMA = "mask string, kind string, " + ", ".join(f"{f}_at int, {f}_width
 def _transitions(zone: str) -> list[tuple[datetime, int]]:
     """The zone's (UTC moment, new offset in seconds) over YEARS, the first one at their start."""
     z, step = ZoneInfo(zone), timedelta(days=7)
-    offset_at = lambda t: int(z.utcoffset(t.replace(tzinfo=timezone.utc).astimezone(z)).total_seconds())
+    offset_at = lambda t: round((z.fromutc(t.replace(tzinfo=z)).replace(tzinfo=None) - t).total_seconds())
     at, end = datetime(YEARS[0] - 1, 12, 30), datetime(YEARS[-1] + 1, 1, 3)
     found = [(at, offset_at(at))]
     while at < end:

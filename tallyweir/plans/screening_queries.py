@@ -11,7 +11,7 @@ from tallyweir.functions import evidence, fields
 from tallyweir.functions import text as tx
 from tallyweir.operators import relational as rel
 from tallyweir.operators import screening as sc
-from tallyweir.session import table
+from tallyweir.session import checkpointed, table
 from tallyweir.sources import listings as ls
 from tallyweir.sources import schemas
 
@@ -205,7 +205,7 @@ SELECT rank, company_key, score, rank <= 40 AND before > 40 AND coalesce(verdict
 """)
 def screen_chain(spark: SparkSession, d: str) -> DataFrame:
     """All stages: gate, rescue, second answer, score, tiers, scope, hand-made verdicts, order and output of the first forty."""
-    rows = answers(spark, d)
+    rows = checkpointed(answers(spark, d))  # read by four stages
     gated = rows.withColumn("passes", sc.passes_gate(F.col("status"), F.col("label"), F.col("probs"))).join(sc.rescued(rows).select("company_key", F.lit(True).alias("again")), "company_key", "left")
     read = gated.where((F.col("passes") | F.col("again").isNotNull()) & F.col("label2").isin("explicit", "partial"))
     score = sc.score_by_label(F.col("label2"), sc.p_of(F.col("probs"), "core"), F.col("market_cap_usd"), F.col("evidence"))
