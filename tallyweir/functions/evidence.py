@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ WEAK_WEIGHT = 0.25  # of a term that says little by itself
 RESULT_WORDS = ("营业收入", "营业总收入", "净利润", "同比", "较去年同期", "较上年", "比上年", "万元", "亿元", "売上高", "売上収益", "営業利益", "経常利益", "純利益", "百万円", "億円", "前期比", "前年同期比", "매출액", "영업이익", "순이익", "당기순이익", "억원", "백만원", "전년 대비", "전년대비")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row: Spark would put a copy of its expression in each place of its use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _count(col: Column, chars: str) -> Column:
     """Number of characters of a class; runs are struck out at once."""
     return F.length(col) - F.length(F.regexp_replace(col, f"(?:{chars})+", ""))
@@ -79,22 +86,31 @@ def excerpts(text: Column, terms: list[str], weak: list[str] | None = None, desc
 
     No paragraph is used twice. A text without paragraphs of its own gives its beginning.
     """
-    paras = paragraphs(text, least)
-    # the opening: paragraphs until it is long enough
-    lengths = F.aggregate(paras, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), lambda a, p: F.when(a["n"] >= opening, a).otherwise(F.struct((a["n"] + F.length(p) + 1).cast("int").alias("n"), (a["k"] + 1).alias("k"))))
-    taken = lengths["k"]
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    overview = truncate_words(F.when(taken > 0, F.array_join(F.slice(paras, 1, F.greatest(taken, F.lit(1))), " ")).otherwise(flat), chars)
-    scored = F.filter(F.transform(paras, lambda p, i: F.struct(term_score(p, terms, weak).alias("score"), (-i).alias("back"), p.alias("text"))), lambda x: (x["score"] >= 1) & (-x["back"] >= taken))
-    best = F.array_max(scored)
-    found = [F.when(overview != "", F.struct(F.lit("overview").alias("kind"), overview.alias("text")))]
-    found.append(F.when(best.isNotNull(), F.struct(F.lit("keywords").alias("kind"), window(best["text"], [*terms, *(weak or [])], chars).alias("text"))))
-    if description is not None:
-        words = description_words(description)
-        close = F.filter(F.transform(paras, lambda p, i: F.struct(F.size(F.array_intersect(description_words(p), words)).alias("score"), (-i).alias("back"), p.alias("text"))), lambda x: (x["score"] >= 2) & (-x["back"] >= taken) & ~x["back"].eqNullSafe(best["back"]))
-        near = F.array_max(close)
-        found.append(F.when(near.isNotNull(), F.struct(F.lit("description").alias("kind"), truncate_words(near["text"], chars).alias("text"))))
-    return F.array_compact(F.array(*found))
+    words = F.lit(None) if description is None else description_words(description)
+
+    def told(paras: Column) -> Column:
+        # the opening: paragraphs until it is long enough
+        lengths = F.aggregate(paras, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k")), lambda a, p: F.when(a["n"] >= opening, a).otherwise(F.struct((a["n"] + F.length(p) + 1).cast("int").alias("n"), (a["k"] + 1).alias("k"))))
+        return _let(lengths["k"], lambda taken: after(paras, taken))
+
+    def after(paras: Column, taken: Column) -> Column:
+        overview = truncate_words(F.when(taken > 0, F.array_join(F.slice(paras, 1, F.greatest(taken, F.lit(1))), " ")).otherwise(flat), chars)
+        scored = F.filter(F.transform(paras, lambda p, i: F.struct(term_score(p, terms, weak).alias("score"), (-i).alias("back"), p.alias("text"))), lambda x: (x["score"] >= 1) & (-x["back"] >= taken))
+        opened = _let(overview, lambda o: F.when(o != "", F.struct(F.lit("overview").alias("kind"), o.alias("text"))))
+        return F.concat(F.array(opened), _let(F.array_max(scored), lambda best: beside(paras, taken, best)))
+
+    def beside(paras: Column, taken: Column, best: Column) -> Column:
+        keywords = F.when(best.isNotNull(), F.struct(F.lit("keywords").alias("kind"), window(best["text"], [*terms, *(weak or [])], chars).alias("text")))
+        if description is None:
+            return F.array(keywords)
+        return F.array(keywords, _let(words, lambda known: F.when(F.size(known) > 0, closest(paras, taken, best, known))))
+
+    def closest(paras: Column, taken: Column, best: Column, known: Column) -> Column:
+        close = F.filter(F.transform(paras, lambda p, i: F.struct(F.size(F.array_intersect(description_words(p), known)).alias("score"), (-i).alias("back"), p.alias("text"))), lambda x: (x["score"] >= 2) & (-x["back"] >= taken) & ~x["back"].eqNullSafe(best["back"]))
+        return _let(F.array_max(close), lambda near: F.when(near.isNotNull(), F.struct(F.lit("description").alias("kind"), truncate_words(near["text"], chars).alias("text"))))
+
+    return F.array_compact(_let(paragraphs(text, least), told))
 
 
 def latin_anchors(col: Column, generic: tuple[str, ...] = ()) -> Column:

@@ -27,6 +27,12 @@ def test_excerpts(spark):
     assert cut.startswith("…") and len(cut) <= 120 and "machine tool" in cut
 
 
+def test_excerpts_divide_a_text_once(spark):
+    made = spark.createDataFrame([("a", "b")], "t string, d string").select(ev.excerpts(F.col("t"), ["battery cell", "machine tool"], ["plant"], F.col("d")))
+    plan = made._jdf.queryExecution().analyzed().numberedTreeString()
+    assert 1 <= plan.count(r"\n[ \t]*\n") <= 4  # a choice of blocks and lines reads the blocks twice
+
+
 def test_figures_and_anchors(spark):
     df = spark.createDataFrame([("2023年营业收入12亿元，净利润3亿元，同比增长平稳发展良好",), ("1234 5678",), ("plain words",), ("",), (None,)], "t string")
     assert [r[0] for r in df.select(ev.figure_heavy(F.col("t"))).collect()] == [True, True, False, False, False]
