@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from tallyweir.llm.scans import roman
 from tallyweir.session import ship_package
 
-MODEL_WORDS = 200_000  # entries of the word model: the most counted ones; rarer words score as unknown
 MIN_COUNT = 2
 SPAN_BASE, LONG_SPAN = -1.5, 400  # score of any span; characters from which a span is unlikely the longer it is
 
@@ -159,12 +158,12 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def boundary_model(texts: DataFrame, text: str = "text") -> dict[str, dict[str, int]]:
     """Counts of opening and closing words over all texts, as kind -> word -> count.
 
-    All texts are counted; of the result the ``MODEL_WORDS`` most counted entries are kept, so its size is bounded.
+    All texts are counted, and every entry met ``MIN_COUNT`` times is kept: the model grows with the vocabulary.
     """
     ship_package(texts.sparkSession)
     counted = texts.select(F.col(text).alias("text")).mapInPandas(_counts, "kind string, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
     model: dict[str, dict[str, int]] = {}
-    for r in counted.where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "kind", "word").limit(MODEL_WORDS).toLocalIterator():
+    for r in counted.where(F.col("n") >= MIN_COUNT).toLocalIterator():
         model.setdefault(r["kind"], {})[r["word"]] = r["n"]
     return model
 

@@ -67,3 +67,11 @@ def test_enumerators(piece, expected):
     from tallyweir.llm.sentences import is_enumerator
 
     assert is_enumerator(piece) == expected
+
+
+def test_model_keeps_every_word(spark):
+    letters = "bcdfghjklmnpqrstvwxz"
+    words = [a + "a" + b + "e" + c + "i" + d for a in letters for b in letters for c in letters for d in letters] + [a + "o" + b + "u" + c + "a" + d for a in letters for b in letters for c in letters for d in letters[:8]]
+    rows = [(i, " ".join(words[i * 500 : i * 500 + 500]), None) for i in range(len(words) // 500)] * 2
+    counted = boundary_model(spark.createDataFrame(rows, ITEMS))
+    assert len(words) > 220_000 and sum(map(len, counted.values())) > 220_000
