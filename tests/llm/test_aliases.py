@@ -90,6 +90,43 @@ def test_a_text_of_two_names_merges_them(spark):
     assert found["Balo Foods"] == found["ケムリ食品"] == found["Balo Foods / ケムリ食品"] != found["Nerida Foods"]
 
 
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """However small its files, a table of names never goes by way of the driver; phrases of business and few counted keys may."""
+    import re
+
+    from tallyweir.llm import aliases
+
+    plans, written = [], aliases.checkpointed
+
+    def noted(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(aliases, "checkpointed", noted)
+    monkeypatch.setattr(aliases, "FEW", 0, raising=False)
+    rows, owner = planted()
+    for n, text in enumerate(["Carl Smith Foods"] * 3 + ["Karl Smyth Foods", "K. Smith Foods", "Balo Kemuri Mining", "Balu Kemuro Foods"]):
+        rows.append((500 + n, text, None, None))
+    found = noted(same_pairs(resolve(spark.createDataFrame(rows, ROWS), lexicon=Lexicon(["foods", "mining", "marine engineering", "software technologies"], {}, {}))))
+    assert found.count() > len(owner)
+    final = [re.split(r"== Initial Plan ==", p)[0] for p in plans]
+    sent = [line.strip() for p in final for line in p.split("\n") if re.search("Broadcast(HashJoin|NestedLoopJoin)", line)]
+    assert any("SortMergeJoin" in p for p in final)
+    assert [line for line in sent if not re.search(r"BroadcastHashJoin \[business#\d+\], \[business#\d+\]", line)] == []
+
+
+def test_few_made_keys_find_the_same_pairs(spark):
+    from tallyweir.llm.aliases import _keyed, _pairs
+
+    made = [(w, w, "", "foods", False, w, None) for w in ("kamito", "kamitoo", "kamit", "hasvike", "hasvke", "vesti")]
+    keyed = _keyed(spark.createDataFrame(made, "node string, core string, raw string, business string, initial boolean, first string, rest string"))
+    some = keyed.where("core IN ('kamito', 'hasvke')")
+    for x, y in ((keyed, some), (some, keyed)):
+        met = [sorted(map(tuple, _pairs(x, y, few).collect())) for few in ("", "x", "y")]
+        assert met[0] == met[1] == met[2] and len(met[0]) == 3
+
+
 def test_blocking_misses_no_pair_within_one_edit(spark):
     """All spellings against all of the same business: the keys meet every pair one edit apart."""
     import os
